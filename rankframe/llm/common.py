@@ -17,6 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 400
 
 _roots: dict[str, str] = {}
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, or until another owner asks for one.
+
+    Workers are reused by later stages, which would else run beside what earlier ones kept.
+    """
+    key = f"{owner}.{name}"
+    if key not in _caches:
+        for k in [k for k in _caches if not k.startswith(f"{owner}.")]:
+            del _caches[k]
+        _caches[key] = {}
+    return _caches[key]
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, map_texts, save
+from rankframe.llm.common import bounded_batches, map_texts, save, worker_cache
 from rankframe.llm.components import components, forest
 
 #: Words of which a worker keeps the hash.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Buckets of the summary that rules pairs out before their sets are fetched.
 SKETCH = 256
 #: Members of a family that are compared in one task.
@@ -41,9 +41,6 @@ COLUMNS = 4096
 MOST_BITS = 1 << 23
 U = np.uint64
 
-_hashes: dict[bytes, int] = {}
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads its input's bits."""
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
@@ -59,10 +56,11 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     split = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not split:
         return np.zeros(0, U)
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    get, name = _hashes.get, xxhash.xxh3_64_intdigest
-    h = np.fromiter([get(w) or _hashes.setdefault(w, name(w)) for w in split], dtype=U, count=len(split))
+    hashes = worker_cache("ngram_join", "words")
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    get, name = hashes.get, xxhash.xxh3_64_intdigest
+    h = np.fromiter([get(w) or hashes.setdefault(w, name(w)) for w in split], dtype=U, count=len(split))
     k = min(words, len(h))
     run = _mix(h[: len(h) - k + 1] + U(k))
     for j in range(1, k):
