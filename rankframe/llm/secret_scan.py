@@ -45,7 +45,10 @@ LONGEST_WORD = max(map(len, WORDS))
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEAR = {c: {d for d in row[max(0, i - 1) : i + 2]} for row in ROWS for i, c in enumerate(row)}
 LEET = str.maketrans("4@3106$57", "aaeiogsst")
-DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?)|(?:(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d)")
+DATE = re.compile(
+    r"(?:19|20)\d\d(?:[-/._]?(?:1[0-2]|0?[1-9])(?:[-/._]?(?:3[01]|[12]\d|0?[1-9]))?)?"
+    r"|(?:3[01]|[12]\d|0?[1-9])[-/._](?:1[0-2]|0?[1-9])[-/._](?:19|20)?\d\d"
+)
 #: A value is a secret from this cost on (powers of ten of guesses), and this length.
 LEAST_LOG10, LEAST_CHARS = 8.0, 6
 #: Longest repeat, walk or date that is looked for at one place; longer ones are cut.
@@ -76,14 +79,18 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     plain = low.translate(LEET) if len(low) == n else value
     low = low if len(low) == n else value
     brute = math.log10(_pool(value))
-    best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
+    # best[b][k]: least cost of value[:b] whose last segment is brute force (k = 1) or not (k = 0); brute
+    # force that goes on pays for no further cut, so both have to be kept.
+    best, back = [[math.inf, math.inf] for _ in range(n + 1)], [[("", 0, 0), ("", 0, 0)] for _ in range(n + 1)]
+    best[0][0] = 0.0
     cut = math.log10(2)
 
     def offer(kind: str, a: int, b: int, cost: float) -> None:
-        # Brute force after brute force goes on with the same segment.
-        total = best[a] + cost + (0 if kind == "brute" and a and back[a][0] == "brute" else cut)
-        if total < best[b]:
-            best[b], back[b] = total, (kind, a)
+        to = kind == "brute"
+        for k in (0, 1):
+            total = best[a][k] + cost + (0 if to and k else cut)
+            if total < best[b][to]:
+                best[b][to], back[b][to] = total, (kind, a, k)
 
     for a in range(n):
         offer("brute", a, a + 1, brute)
@@ -105,15 +112,16 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             b += 1
         if b - a >= 4:
             offer("walk", a, b, math.log10(47 * (b - a)) + turns * math.log10(3))
-    parts, at = [], n
+    parts, at, k = [], n, int(best[n][1] < best[n][0])
+    least = best[n][k]
     while at:
-        kind, a = back[at]
+        kind, a, before = back[at][k]
         if kind == "brute" and parts and parts[-1][0] == "brute":
             parts[-1] = ("brute", a, parts[-1][2])
         else:
             parts.append((kind, a, at))
-        at = a
-    return best[n], parts[::-1]
+        at, k = a, before
+    return least, parts[::-1]
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float | None]:
