@@ -18,60 +18,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, save, spread_rank
+from rankframe.llm.common import bounded_batches, save, spread_rank, worker_cache
 
 WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
-#: Words kept with their ids by each Python worker.
-CACHE_WORDS = 500_000
+#: Words kept with their ids by each Python worker, in each of two generations.
+CACHE_WORDS = 300_000
 #: Lengths tried as second piece beside each first one.
 PARTNERS = 48
 STEPS = 300
 
 #: ASCII punctuation that is a token run of its own after a letter or digit; the apostrophe is not.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-_words: dict[bytes, bytes] = {}
-_parts: dict[bytes, bytes] = {}
-_tokenizers: dict[str, object] = {}
+#: ASCII letters and digits.
+SOLID = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 def _tokenizer(path: str):
-    if path not in _tokenizers:
+    """The worker's tokenizer, with the ids of words and of parts of words that it has met."""
+    kept = worker_cache("packing", path)
+    if not kept:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers.clear()
-        _words.clear()
-        _parts.clear()
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        tok = Tokenizer.from_file(path)
+        mark = tok.encode("\x01", add_special_tokens=False).ids
+        kept |= {"tokenizer": tok, "mark": mark[0] if len(mark) == 1 else None, "words": {}, "parts": {}, "old": {}, "old_parts": {}}
+    return kept
 
 
 def _split(word: bytes) -> tuple[bytes, bytes]:
     """A word without the marks that end it, and these, where no token can span the two."""
     body = word.rstrip(MARKS)
-    if body != word and body and body[-1] < 128 and b"<|" not in word and chr(body[-1]).isalnum():
+    if len(body) != len(word) and body and body[-1] in SOLID and b"<|" not in word:
         return body, word[len(body) :]
     return word, b""
 
 
-def _learn(words: set[bytes], tok) -> None:
-    if len(_words) + len(words) > CACHE_WORDS:
-        _words.clear()
-    if len(_parts) > CACHE_WORDS:
-        _parts.clear()
-    cuts = {w: _split(w) for w in words}
-    new = list({p for c in cuts.values() for p in c if p not in _parts})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            _parts[w] = np.array(e.ids, dtype="<u4").tobytes()
-    for w, (body, marks) in cuts.items():
-        _words[w] = _parts[body] + _parts[marks]
+def _encode(parts: list[bytes], kept: dict) -> list[bytes]:
+    """The ids of each part, from one text in which a control character stands between the parts."""
+    tok, mark = kept["tokenizer"], kept["mark"]
+    out: list[bytes] = [b""] * len(parts)
+    plain = [i for i, p in enumerate(parts) if mark is not None and b"\x01" not in p and b"<|" not in p]
+    for at in range(0, len(plain), 2048):
+        some = plain[at : at + 2048]
+        text = b" \x01 ".join([parts[i] for i in some]).decode()
+        ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, cuts = ids.tobytes(), np.flatnonzero(ids == mark).tolist()
+        for i, a, b in zip(some, [-1, *cuts], [*cuts, len(ids)], strict=True):
+            out[i] = raw[4 * a + 4 : 4 * b]
+    for i in sorted(set(range(len(parts))).difference(plain)):
+        out[i] = np.array(tok.encode(parts[i].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return out
+
+
+def _learn(new: set[bytes], kept: dict) -> None:
+    """Put words into the worker's cache: two generations each of words and of their parts."""
+    if len(kept["parts"]) > CACHE_WORDS:
+        kept["old_parts"], kept["parts"] = kept["parts"], {}
+    words, parts, old, old_parts = kept["words"], kept["parts"], kept["old"], kept["old_parts"]
+    cuts, names = [], {}
+    for w in new:
+        if w in old:
+            words[w] = old[w]
+            continue
+        c = _split(w)
+        cuts.append((w, c))
+        for p in c:
+            if p not in parts:
+                if p in old_parts:
+                    parts[p] = old_parts[p]
+                else:
+                    names[p] = None
+    parts.update(zip(names, _encode(list(names), kept), strict=True))
+    for w, (body, marks) in cuts:
+        words[w] = parts[body] + parts[marks]
 
 
 def token_bytes(texts: list, path: str) -> list[bytes]:
@@ -80,21 +104,19 @@ def token_bytes(texts: list, path: str) -> list[bytes]:
     The tokenizer lowers case, drops white space, and no token spans it: a text's ids are those
     of its words. Each word is tokenized once for as long as it stays in the worker's cache.
     """
-    tok = _tokenizer(path)
-    out = []
+    kept = _tokenizer(path)
+    split = []
     for t in texts:
         raw = (t or "").encode("utf-8", "replace")
-        words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens depend on case
-        try:
-            out.append(b"".join([_words[w] for w in words]))
-        except KeyError:
-            new = {w for w in words if w not in _words}
-            before = len(_words)
-            _learn(new, tok)
-            if len(_words) < before + len(new):  # the cache was emptied
-                _learn({w for w in words if w not in _words}, tok)
-            out.append(b"".join([_words[w] for w in words]))
-    return out
+        split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens depend on case
+    every = set().union(*split)
+    new = every.difference(kept["words"])
+    if len(kept["words"]) + len(new) > CACHE_WORDS:  # the next generation begins with this batch
+        kept["old"], kept["words"] = kept["words"], {}
+        new = every
+    _learn(new, kept)
+    get = kept["words"].__getitem__
+    return [b"".join(map(get, ws)) for ws in split]
 
 
 def pieces(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
