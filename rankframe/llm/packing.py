@@ -24,19 +24,14 @@ WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
 #: Words kept with their ids by each Python worker, in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 #: Lengths tried as second piece beside each first one.
 PARTNERS = 48
 STEPS = 300
 
-#: ASCII punctuation that is a token run of its own after a letter or digit; the apostrophe is not.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: ASCII letters and digits.
-SOLID = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-
 
 def _tokenizer(path: str):
-    """The worker's tokenizer, with the ids of words and of parts of words that it has met."""
+    """The worker's tokenizer, with the ids of words that it has met."""
     kept = worker_cache("packing", path)
     if not kept:
         import os
@@ -46,59 +41,28 @@ def _tokenizer(path: str):
 
         tok = Tokenizer.from_file(path)
         mark = tok.encode("\x01", add_special_tokens=False).ids
-        kept |= {"tokenizer": tok, "mark": mark[0] if len(mark) == 1 else None, "words": {}, "parts": {}, "old": {}, "old_parts": {}}
+        kept |= {"tokenizer": tok, "mark": mark[0] if len(mark) == 1 else None, "words": {}, "old": {}}
     return kept
 
 
-def _split(word: bytes) -> tuple[bytes, bytes]:
-    """A word without the marks that end it, and these, where no token can span the two."""
-    body = word.rstrip(MARKS)
-    if len(body) != len(word) and body and body[-1] in SOLID and b"<|" not in word:
-        return body, word[len(body) :]
-    return word, b""
-
-
-def _encode(parts: list[bytes], kept: dict) -> list[bytes]:
-    """The ids of each part, from one text in which a control character stands between the parts."""
+def _encode(words: list[bytes], kept: dict) -> list[bytes]:
+    """The ids of each word, from one text in which a control character stands between the words."""
     tok, mark = kept["tokenizer"], kept["mark"]
-    out: list[bytes] = [b""] * len(parts)
-    plain = [i for i, p in enumerate(parts) if mark is not None and b"\x01" not in p and b"<|" not in p]
+    out: list[bytes] = [b""] * len(words)
+    plain = [i for i, p in enumerate(words) if mark is not None and b"\x01" not in p and b"<|" not in p]
     for at in range(0, len(plain), 2048):
         some = plain[at : at + 2048]
-        text = b" \x01 ".join([parts[i] for i in some]).decode()
+        text = b" \x01 ".join([words[i] for i in some]).decode()
         ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         raw, cuts = ids.tobytes(), np.flatnonzero(ids == mark).tolist()
         for i, a, b in zip(some, [-1, *cuts], [*cuts, len(ids)], strict=True):
             out[i] = raw[4 * a + 4 : 4 * b]
-    for i in sorted(set(range(len(parts))).difference(plain)):
-        out[i] = np.array(tok.encode(parts[i].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    for i in sorted(set(range(len(words))).difference(plain)):
+        out[i] = np.array(tok.encode(words[i].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
     return out
 
 
-def _learn(new: set[bytes], kept: dict) -> None:
-    """Put words into the worker's cache: two generations each of words and of their parts."""
-    if len(kept["parts"]) > CACHE_WORDS:
-        kept["old_parts"], kept["parts"] = kept["parts"], {}
-    words, parts, old, old_parts = kept["words"], kept["parts"], kept["old"], kept["old_parts"]
-    cuts, names = [], {}
-    for w in new:
-        if w in old:
-            words[w] = old[w]
-            continue
-        c = _split(w)
-        cuts.append((w, c))
-        for p in c:
-            if p not in parts:
-                if p in old_parts:
-                    parts[p] = old_parts[p]
-                else:
-                    names[p] = None
-    parts.update(zip(names, _encode(list(names), kept), strict=True))
-    for w, (body, marks) in cuts:
-        words[w] = parts[body] + parts[marks]
-
-
-def token_bytes(texts: list, path: str) -> list[bytes]:
+def token_bytes(texts: list, path: str, cache_words: int = CACHE_WORDS) -> list[bytes]:
     """The ids of each text, without END_ID, as little-endian unsigned 32-bit integers.
 
     The tokenizer lowers case, drops white space, and no token spans it: a text's ids are those
@@ -111,11 +75,15 @@ def token_bytes(texts: list, path: str) -> list[bytes]:
         split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens depend on case
     every = set().union(*split)
     new = every.difference(kept["words"])
-    if len(kept["words"]) + len(new) > CACHE_WORDS:  # the next generation begins with this batch
+    if len(kept["words"]) + len(new) > cache_words:  # the next generation begins with this batch
         kept["old"], kept["words"] = kept["words"], {}
         new = every
-    _learn(new, kept)
-    get = kept["words"].__getitem__
+    words, old = kept["words"], kept["old"]
+    known = new.intersection(old)
+    words.update(zip(known, map(old.__getitem__, known), strict=True))
+    fresh = list(new.difference(known))
+    words.update(zip(fresh, _encode(fresh, kept), strict=True))
+    get = words.__getitem__
     return [b"".join(map(get, ws)) for ws in split]
 
 
@@ -210,7 +178,9 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...]
     return out
 
 
-def cut(df: DataFrame, tokenizer: str, text: str, doc_id: str, window: int = WINDOW) -> DataFrame:
+def cut(
+    df: DataFrame, tokenizer: str, text: str, doc_id: str, window: int = WINDOW, cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens for each piece; null texts count as empty."""
     bounded_batches(df.sparkSession)
     end = np.array([END_ID], dtype="<u4").tobytes()
@@ -218,7 +188,7 @@ def cut(df: DataFrame, tokenizer: str, text: str, doc_id: str, window: int = WIN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, rows = [], []
-            for i, ids in enumerate(token_bytes(b.column(1).to_pylist(), tokenizer)):
+            for i, ids in enumerate(token_bytes(b.column(1).to_pylist(), tokenizer, cache_words)):
                 found = pieces(ids + end, window)
                 keys += [i] * len(found)
                 rows += [(*p, len(ids) // 4 + 1) for p in found]
@@ -231,16 +201,17 @@ def cut(df: DataFrame, tokenizer: str, text: str, doc_id: str, window: int = WIN
 
 
 def pack(
-    df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW
+    df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document, also an empty or null one, ends with END_ID and so has a piece. A repeated
     row is a document of its own; a null doc_id stays null. An empty table gives no rows; other
     columns of df are ignored. What reaches the driver is a count per length, window at most;
-    ranks within a length are exact also if one length holds a third of all pieces.
+    ranks within a length are exact also if one length holds a third of all pieces. cache_words trades
+    a worker's memory (about 400 bytes each) for time, and changes no result.
     """
-    cut_ = save(cut(df, tokenizer, text, doc_id, window), "pieces")
+    cut_ = save(cut(df, tokenizer, text, doc_id, window, cache_words), "pieces")
     counts = np.zeros(window + 1, dtype=np.int64)
     for length, n in cut_.groupBy("length").count().collect():  # at most window rows
         counts[length] = n
