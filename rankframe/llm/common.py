@@ -3,6 +3,9 @@ bounded Arrow batches, exact ranks under hot keys."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -50,6 +53,17 @@ def scratch_root(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system.
+
+    Idle workers stay beside the executor's JVM, and their allocators keep what they once used.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -106,6 +120,7 @@ def map_texts(
             cols = [b.column(i) for i in range(len(b.schema.names) - 1)]
             cols += [pa.array(got[n], type=arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], *names])
+        trim()
 
     return src.mapInArrow(run, schema)
 

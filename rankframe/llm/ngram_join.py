@@ -26,17 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, map_texts, save, worker_cache
+from rankframe.llm.common import bounded_batches, map_texts, save, trim
 from rankframe.llm.components import components, forest
 
-#: Words of which a worker keeps the hash.
-CACHE_WORDS = 250_000
+#: Sets of which a task remembers that it has posted them.
+REMEMBERED = 250_000
 #: Buckets of the summary that rules pairs out before their sets are fetched.
 SKETCH = 256
 #: Members of a family that are compared in one task.
 PART = 256
 #: Columns of a block of the product.
 COLUMNS = 4096
+#: Entries of a part's sets from which freed memory goes back to the system at once.
+LARGE = 1_000_000
 #: Bits of the filter that says which documents to read again, at most.
 MOST_BITS = 1 << 23
 U = np.uint64
@@ -56,11 +58,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     split = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not split:
         return np.zeros(0, U)
-    hashes = worker_cache("ngram_join", "words")
-    if len(hashes) > CACHE_WORDS:
-        hashes.clear()
-    get, name = hashes.get, xxhash.xxh3_64_intdigest
-    h = np.fromiter([get(w) or hashes.setdefault(w, name(w)) for w in split], dtype=U, count=len(split))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, split), dtype=U, count=len(split))
     k = min(words, len(h))
     run = _mix(h[: len(h) - k + 1] + U(k))
     for j in range(1, k):
@@ -238,13 +236,14 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
                 name = (xxhash.xxh3_128_intdigest(s.tobytes(), seed) & (2**64 - 1)) - 2**63
                 if name in done:
                     continue
-                if len(done) < CACHE_WORDS:
+                if len(done) < REMEMBERED:
                     done.add(name)
                 k = bands.keys(s).view(np.int64)
                 keys.append(k)
                 names.append(np.full(len(k), name, dtype=np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], ["key", "set"])
+        trim()
 
     posted = src.where("doc_id is not null").select("text").mapInArrow(post, "key long, set long")
     least = F.first("set").over(Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, 0))
@@ -283,6 +282,8 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         names = batch["set"].to_numpy()
         i, j = product(sets_, num, den)
         a, b = forest(names[i], names[j])
+        if sum(map(len, sets_)) > LARGE:
+            trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = save(near.join(full, "set").groupBy("head", "part").applyInArrow(overlap, "a long, b long"), "links")
@@ -330,6 +331,7 @@ def _fetch(src: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFram
                     names.append((xxhash.xxh3_128_intdigest(s.tobytes(), seed) & (2**64 - 1)) - 2**63)
                     columns.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(columns, pa.binary())], ["set", "columns"])
+        trim()
 
     some = src.where("doc_id is not null").where(maybe_in(bits, n, "doc_id")).select("text")
     made = some.mapInArrow(run, "set long, columns binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, save, spread_rank, worker_cache
+from rankframe.llm.common import bounded_batches, save, spread_rank, trim, worker_cache
 
 WINDOW = 2048
 #: The id that ends each document.
@@ -186,6 +186,7 @@ def cut(
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # what earlier stages left in this worker
         for b in batches:
             keys, rows = [], []
             for i, ids in enumerate(token_bytes(b.column(1).to_pylist(), tokenizer, cache_words)):
