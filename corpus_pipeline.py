@@ -35,8 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of documents with their places in sequences. The cache is small, as executors are full after four stages."""
+    return packing.pack(docs, tokenizer_path(), cache_words=150_000)
 
 
 STAGES = [
