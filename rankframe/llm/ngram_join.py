@@ -35,6 +35,8 @@ REMEMBERED = 250_000
 SKETCH = 256
 #: Members of a family that are compared in one task.
 PART = 256
+#: Members, and entries of their sets, on either side of a task that compares parts of a large family.
+ACROSS, ENTRIES = 1024, 1_500_000
 #: Columns of a block of the product.
 COLUMNS = 4096
 #: Entries of a part's sets from which freed memory goes back to the system at once.
@@ -292,15 +294,17 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     # Members of large families that no link has joined to the least member, against all parts.
     roots = save(components(links), "roots")
     root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    all_ = save(pairs.join(large, "head").join(root("set"), "set", "left").join(root("head"), "head", "left").select(
-        "head", "set", "parts", F.coalesce("set_root", "set").alias("sr"), F.coalesce("head_root", "head").alias("hr")
-    ), "members")
-    apart = all_.where("sr <> hr")
-    rows = apart.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("rparts"))
-    every = all_.join(rows, "head")
+    all_ = pairs.join(large.select("head"), "head").join(root("set"), "set", "left").join(root("head"), "head", "left")
+    apart = F.coalesce("set_root", "set") != F.coalesce("head_root", "head")
+    all_ = save(all_.select("head", "set", apart.alias("apart")).join(sets.select("set", "n"), "set"), "members")
+
+    # As few parts as memory allows, since each member goes to all parts of the other side.
+    parts = lambda c: F.ceil(F.greatest(F.count_if(c) / ACROSS, F.sum(F.when(c, F.col("n"))) / ENTRIES)).cast("int")
+    tasks = all_.groupBy("head").agg(parts(F.lit(True)).alias("parts"), parts(F.col("apart")).alias("rparts")).where("rparts > 0")
+    every = all_.join(tasks, "head")
     one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     deal = lambda c, salt: F.pmod(F.xxhash64("set", F.lit(salt)), F.col(c)).cast("int")
-    left = every.where("sr <> hr").select("head", "set", deal("rparts", 1).alias("i"), one("parts").alias("j"), F.lit(True).alias("is_row"))
+    left = every.where("apart").select("head", "set", deal("rparts", 1).alias("i"), one("parts").alias("j"), F.lit(True).alias("is_row"))
     right = every.select("head", "set", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("j"), one("rparts").alias("i"), F.lit(False).alias("is_row"))
 
     def across(key, batch):

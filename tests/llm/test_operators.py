@@ -81,6 +81,7 @@ def test_ngram_join(spark, odd, words, num, den):
 def test_ngram_join_large_families(spark, monkeypatch, part):
     """Near copies that link only in part, dealt into many parts."""
     monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "ACROSS", part)
     base, rows, r = prose(5, 120).split(), [], random.Random(3)
     for i in range(90):
         w = list(base)
