@@ -36,7 +36,7 @@ SKETCH = 256
 #: Members of a family that are compared in one task.
 PART = 256
 #: Members, and entries of their sets, on either side of a task that compares parts of a large family.
-ACROSS, ENTRIES = 1024, 1_500_000
+ACROSS, ENTRIES = 256, 1_500_000
 #: Columns of a block of the product.
 COLUMNS = 4096
 #: Entries of a part's sets from which freed memory goes back to the system at once.
