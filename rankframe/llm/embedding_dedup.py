@@ -24,7 +24,7 @@ from rankframe.llm.components import components, forest
 
 THRESHOLD = 0.9
 #: Filters that a vector passes on average, and unrelated vectors in a cap.
-LISTED, IN_CAP = 24, 12
+LISTED, IN_CAP = 48, 12
 #: Rows of a tile of the exact comparison.
 TILE = 512
 SEED = 11
