@@ -9,8 +9,8 @@ columns, and a pair is discarded as soon as its count plus what is left of its c
 reach the bound that its sizes give.
 
 Equal sets are compared once. A large family is dealt into parts: all pairs within a part, and of
-each member with the family's least, are compared first; then only members that no link has
-joined to the least one meet the other parts. Links are kept as forests: they connect all that is
+each member with the family's least, are compared first; then only members outside the family's
+largest component so far meet the other parts. Links are kept as forests: they connect all that is
 linked, without listing all pairs of a group.
 """
 
@@ -36,9 +36,9 @@ SKETCH = 256
 #: Members of a family that are compared in one task.
 PART = 256
 #: Members, and entries of their sets, on either side of a task that compares parts of a large family.
-ACROSS, ENTRIES = 256, 1_500_000
+ACROSS, ENTRIES = 512, 1_500_000
 #: Columns of a block of the product.
-COLUMNS = 4096
+COLUMNS = 1024
 #: Entries of a part's sets from which freed memory goes back to the system at once.
 LARGE = 1_000_000
 #: Bits of the filter that says which documents to read again, at most.
@@ -291,12 +291,13 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     links = save(near.join(full, "set").groupBy("head", "part").applyInArrow(overlap, "a long, b long"), "links")
     if large.isEmpty():
         return known, links
-    # Members of large families that no link has joined to the least member, against all parts.
+    # Of two members that no links connect yet, one is outside the largest component of the family: those meet all parts.
     roots = save(components(links), "roots")
-    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    all_ = pairs.join(large.select("head"), "head").join(root("set"), "set", "left").join(root("head"), "head", "left")
-    apart = F.coalesce("set_root", "set") != F.coalesce("head_root", "head")
-    all_ = save(all_.select("head", "set", apart.alias("apart")).join(sets.select("set", "n"), "set"), "members")
+    labelled = pairs.join(large.select("head"), "head").join(roots.withColumnRenamed("node", "set"), "set", "left")
+    labelled = save(labelled.select("head", "set", F.coalesce("root", "set").alias("root")).join(sets.select("set", "n"), "set"), "members")
+    counts = labelled.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m"))
+    most = counts.groupBy("head").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    all_ = save(labelled.join(most, "head").select("head", "set", "n", (F.col("root") != F.col("main")).alias("apart")), "labelled")
 
     # As few parts as memory allows, since each member goes to all parts of the other side.
     parts = lambda c: F.ceil(F.greatest(F.count_if(c) / ACROSS, F.sum(F.when(c, F.col("n"))) / ENTRIES)).cast("int")
