@@ -254,9 +254,10 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     size = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("m")).select("head", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     size = save(size, "families")
     # The least member is in each part of its family.
-    members = pairs.join(size, "head").select("head", "set", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"))
+    members = pairs.join(size, "head").select("head", "set", "parts", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"))
+    members = save(members, "members")
     heads = size.select("head", F.col("head").alias("set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    tiles = members.unionByName(heads).join(sets.select("set", "n", "sketch"), "set")
+    tiles = members.select("head", "set", "part").unionByName(heads).join(sets.select("set", "n", "sketch"), "set")
 
     def sift(key, batch):
         """Members that the summaries leave a partner."""
@@ -274,8 +275,8 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     near = save(near, "near")
     wanted = near.select("set").distinct()
     # Where a family is in parts, any member may meet one of another part: all of them are fetched.
-    large = save(size.where("parts > 1"), "large")
-    far = pairs.join(large, "head").select("set").union(large.select(F.col("head").alias("set"))).distinct()
+    large = members.where("parts > 1").select("head", "set")
+    far = large.select("set").union(size.where("parts > 1").select("head")).distinct()
     wanted = save(wanted.union(far).distinct().join(sets.select("set", "doc_id"), "set"), "wanted")
     full = save(_fetch(src, wanted, words, seed), "fetched")
 
@@ -293,16 +294,16 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         return known, links
     # Of two members that no links connect yet, one is outside the largest component of the family: those meet all parts.
     roots = save(components(links), "roots")
-    labelled = pairs.join(large.select("head"), "head").join(roots.withColumnRenamed("node", "set"), "set", "left")
-    labelled = save(labelled.select("head", "set", F.coalesce("root", "set").alias("root")).join(sets.select("set", "n"), "set"), "members")
-    counts = labelled.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m"))
-    most = counts.groupBy("head").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    all_ = save(labelled.join(most, "head").select("head", "set", "n", (F.col("root") != F.col("main")).alias("apart")), "labelled")
-
+    labelled = large.join(roots.withColumnRenamed("node", "set"), "set", "left").join(sets.select("set", "n"), "set")
+    labelled = save(labelled.select("head", "set", "n", F.coalesce("root", "set").alias("root")), "labelled")
+    per_root = labelled.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    families = per_root.groupBy("head").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "root")).alias("main"))
     # As few parts as memory allows, since each member goes to all parts of the other side.
-    parts = lambda c: F.ceil(F.greatest(F.count_if(c) / ACROSS, F.sum(F.when(c, F.col("n"))) / ENTRIES)).cast("int")
-    tasks = all_.groupBy("head").agg(parts(F.lit(True)).alias("parts"), parts(F.col("apart")).alias("rparts")).where("rparts > 0")
-    every = all_.join(tasks, "head")
+    parts = lambda m, n: F.ceil(F.greatest(m / ACROSS, n / ENTRIES)).cast("int")
+    m, n, main = F.col("m"), F.col("n"), F.col("main")
+    tasks = families.select("head", main["root"].alias("main"), parts(m, n).alias("parts"), parts(m - main["m"], n - main["n"]).alias("rparts"))
+    every = labelled.join(tasks.where("rparts > 0"), "head").select("head", "set", "parts", "rparts", (F.col("root") != F.col("main")).alias("apart"))
+    every = save(every, "apart")
     one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     deal = lambda c, salt: F.pmod(F.xxhash64("set", F.lit(salt)), F.col(c)).cast("int")
     left = every.where("apart").select("head", "set", deal("rparts", 1).alias("i"), one("parts").alias("j"), F.lit(True).alias("is_row"))
