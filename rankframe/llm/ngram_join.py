@@ -294,14 +294,17 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         return known, links
     # Of two members that no links connect yet, one is outside the largest component of the family: those meet all parts.
     roots = save(components(links), "roots")
-    labelled = large.join(roots.withColumnRenamed("node", "set"), "set", "left").join(sets.select("set", "n"), "set")
-    labelled = save(labelled.select("head", "set", "n", F.coalesce("root", "set").alias("root")), "labelled")
-    per_root = labelled.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
-    families = per_root.groupBy("head").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "root")).alias("main"))
+    labelled = large.join(roots.withColumnRenamed("node", "set"), "set", "left")
+    labelled = save(labelled.select("head", "set", F.coalesce("root", "set").alias("root")), "labelled")
+    per_root = labelled.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m"))
+    families = per_root.groupBy("head").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("main"))
+    # Sets of a family lie in the head's band or beside it, which bounds their sizes.
+    families = families.join(sets.select(F.col("set").alias("head"), "n"), "head")
+    families = families.withColumn("n", F.col("n") * (den * den) / (num * num) + den / num + 2)
     # As few parts as memory allows, since each member goes to all parts of the other side.
-    parts = lambda m, n: F.ceil(F.greatest(m / ACROSS, n / ENTRIES)).cast("int")
-    m, n, main = F.col("m"), F.col("n"), F.col("main")
-    tasks = families.select("head", main["root"].alias("main"), parts(m, n).alias("parts"), parts(m - main["m"], n - main["n"]).alias("rparts"))
+    parts = lambda m: F.ceil(F.greatest(m / ACROSS, m * F.col("n") / ENTRIES)).cast("int")
+    m, main = F.col("m"), F.col("main")
+    tasks = families.select("head", main["root"].alias("main"), parts(m).alias("parts"), parts(m - main["m"]).alias("rparts"))
     every = labelled.join(tasks.where("rparts > 0"), "head").select("head", "set", "parts", "rparts", (F.col("root") != F.col("main")).alias("apart"))
     every = save(every, "apart")
     one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
