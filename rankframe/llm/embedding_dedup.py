@@ -1,18 +1,19 @@
 """Near-duplicate vectors by spherical-cap filters with random product codes.
 
-A filter is a direction; a vector passes it if their inner product exceeds a threshold, so the
-vectors that pass lie in a cap. Directions are all combinations of one random codeword per block
-of dimensions: each vector finds the combinations that exceed the threshold by list decoding, from
-a few inner products per block, however many filters there are. Vectors that share a filter are
-compared exactly. The number of filters grows with the number of vectors, so that a cap holds
-about as many unrelated vectors at every size.
+A filter is a direction; vectors with high inner products to it lie in a cap around it. Directions
+are all combinations of one random codeword per block of dimensions: each vector finds the filters
+nearest to it by list decoding, from a few inner products per block, however many filters there
+are. Vectors that share a filter are compared exactly. The number of filters grows with the number
+of vectors, so that a cap holds about as many unrelated vectors at every size. Every vector lists
+equally many filters of each of several independent codes. As a code is rotated at random and a list
+depends on its vector alone, the chance that a pair shares no filter depends on its cosine only, not
+on the data: it is measured when the codes are drawn, and codes are added until it is small enough.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,49 +24,94 @@ from rankframe.llm.common import bounded_batches, save
 from rankframe.llm.components import components, forest
 
 THRESHOLD = 0.9
-#: Filters that a vector passes on average, and unrelated vectors in a cap.
-LISTED, IN_CAP = 48, 12
+#: Filters that a vector lists at least over all codes, and of one code; unrelated vectors in a cap.
+LISTED, PER_CODE, IN_CAP = 48, 12, 12
+#: Chance that a pair just at the threshold shares no filter, and pairs by which it is measured.
+MISS, TRIALS = 0.005, 2000
+#: Most codewords of a block.
+WORDS = 4096
 #: Rows of a tile of the exact comparison.
 TILE = 512
 SEED = 11
 
 
-def codes(n: int, dim: int, listed: int = LISTED, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray], float]:
-    """A rotation, the codewords of each block, and the threshold, for n vectors of dim dimensions."""
-    rng = np.random.default_rng(seed)
-    filters = max(4096.0, listed * max(1, n) / IN_CAP)
-    blocks = 2
-    while filters ** (1 / blocks) > 600 and 2 * blocks <= dim:
-        blocks *= 2
-    blocks = min(blocks, dim)
-    words = max(2, math.ceil(filters ** (1 / blocks)))
+Code = tuple[np.ndarray, list[np.ndarray]]
+
+
+def code(n: int, dim: int, rng: np.random.Generator) -> Code:
+    """A random rotation, and the codewords of each block, for n vectors of dim dimensions."""
+    filters = max(64.0, PER_CODE * max(1, n) / IN_CAP)
+    blocks = 2 if dim >= 8 else 1
+    while filters ** (1 / blocks) > WORDS and 4 * (blocks + 1) <= dim:
+        blocks += 1
+    words = max(2, min(WORDS, math.ceil(filters ** (1 / blocks))))
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     books = []
     for part in np.array_split(np.arange(dim), blocks):
         book = rng.standard_normal((words, len(part)))
-        books.append(book / np.linalg.norm(book, axis=1, keepdims=True) / math.sqrt(blocks))
-    share = min(0.4, listed / float(words) ** blocks)
-    return turn, books, NormalDist().inv_cdf(1 - share) / math.sqrt(dim)
+        books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
+    return turn, books
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores of each row, best first."""
+    k = min(k, scores.shape[1])
+    at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(scores, at, 1), axis=1), 1)
 
 
-def decode(x: np.ndarray, books: list[np.ndarray], least: float) -> list[np.ndarray]:
-    """For each unit row of x, the numbers of all filters with inner product >= least; the best if none."""
-    cuts = np.cumsum([0] + [b.shape[1] for b in books])
-    scores = [x[:, cuts[i] : cuts[i + 1]] @ b.T for i, b in enumerate(books)]
-    tops = np.array([s.max(axis=1) for s in scores])
+def decode(x: np.ndarray, code: Code) -> np.ndarray:
+    """For each unit row of x, the numbers of the PER_CODE filters with the highest inner products."""
+    turn, books = code
     out = []
-    for r in range(len(x)):
-        rest = float(tops[:, r].sum())
-        need = min(least, rest - 1e-12)
-        total, names = np.zeros(1), np.zeros(1, dtype=np.int64)
-        for s, top in zip(scores, tops[:, r], strict=True):
-            rest -= float(top)
-            some = np.flatnonzero(s[r] >= need - rest - total.max())
-            sums = total[:, None] + s[r][some][None, :]
-            i, j = np.nonzero(sums >= need - rest)
-            total, names = sums[i, j], names[i] * s.shape[1] + some[j]
-        out.append(np.sort(names))
-    return out
+    for part in np.array_split(x, max(1, math.ceil(len(x) / 256))):
+        part, total, names, at = part @ turn, None, None, 0
+        for book in books:
+            scores = part[:, at : at + book.shape[1]] @ book.T
+            at += book.shape[1]
+            own = _best(scores, PER_CODE)
+            scores = np.take_along_axis(scores, own, 1)
+            if total is None:
+                total, names = scores, own
+                continue
+            # The i-th best of one side and the j-th of the other have i * j sums at least as high.
+            i, j = np.nonzero(np.outer(np.arange(1, total.shape[1] + 1), np.arange(1, own.shape[1] + 1)) <= PER_CODE)
+            total, names = total[:, i] + scores[:, j], names[:, i] * len(book) + own[:, j]
+            best = _best(total, PER_CODE)
+            total, names = np.take_along_axis(total, best, 1), np.take_along_axis(names, best, 1)
+        out.append(names)
+    return np.concatenate(out)
+
+
+def missed(code: Code, threshold: float, rng: np.random.Generator) -> float:
+    """Share of random pairs with that cosine that share no filter of a code."""
+    dim = len(code[0])
+    if dim < 2 or not -1 < threshold < 1:
+        return 0.0
+    x, u = rng.standard_normal((2, TRIALS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    y = threshold * x + math.sqrt(1 - threshold**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    return float((decode(x, code)[:, :, None] != decode(y, code)[:, None, :]).all(axis=(1, 2)).mean())
+
+
+def codes(n: int, dim: int, threshold: float = THRESHOLD, listed: int = LISTED, seed: int = SEED) -> list[Code]:
+    """Independent codes for n vectors of dim dimensions; none where comparing all pairs is no more work."""
+    rng = np.random.default_rng(seed)
+    first = code(n, dim, rng)
+    lost = min(max(missed(first, threshold, rng), 1 / TRIALS), 1 - 1 / TRIALS)
+    rounds = max(1, math.ceil(listed / PER_CODE), math.ceil(math.log(MISS) / math.log(lost)))
+    if rounds * PER_CODE * IN_CAP >= n:
+        return []
+    return [first] + [code(n, dim, rng) for _ in range(rounds - 1)]
+
+
+def filters(x: np.ndarray, drawn: list[Code]) -> np.ndarray:
+    """For each unit row of x, the filters that it lists in all codes, by number; without codes, one filter for all."""
+    if not drawn:
+        return np.zeros((len(x), 1), dtype=np.int64)
+    size = math.prod(len(b) for b in drawn[0][1])
+    return np.sort(np.concatenate([decode(x, c) + k * size for k, c in enumerate(drawn)], axis=1), axis=1)
 
 
 def _matrix(values) -> np.ndarray:
@@ -80,7 +126,8 @@ def near_duplicates(
     Vectors that are null, zero, or hold null or non-finite components link with nothing, and
     vectors of different dimensions do not link with each other. Equal vectors are compared once:
     a row's links are all other rows whose cosine, in double precision, is at least threshold.
-    Repeated rows are vectors of their own. A null vec_id comes out with null component_id and
+    Pairs of which the chance to share no filter is at most MISS at the threshold, and lower above
+    it, may be missed; none is wrong. Repeated rows are vectors of their own. A null vec_id comes out with null component_id and
     kept, and still counts as a link of others. Other columns are ignored.
     """
     spark = df.sparkSession
@@ -114,7 +161,7 @@ def near_duplicates(
 def _linked(reps: DataFrame, dim: int, n: int, threshold: float, listed: int) -> DataFrame:
     """(a, b, n): for each a the weight of its partners in a tile, and links (a, b) that connect them (n = 0)."""
     bounded_batches(reps.sparkSession, 2000)
-    turn, books, least = codes(n, dim, listed)
+    drawn = codes(n, dim, threshold, listed)
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,7 +169,7 @@ def _linked(reps: DataFrame, dim: int, n: int, threshold: float, listed: int) ->
                 continue
             x = _matrix(b.column(1).to_pylist())
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(decode(x @ turn, books, least), pa.list_(pa.int64()))], ["id", "filters"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(filters(x, drawn)), pa.list_(pa.int64()))], ["id", "filters"])
 
     lists = save(reps.select("id", "v").mapInArrow(listing, "id long, filters array<long>"), "filters")
     passed = lists.select("id", F.explode("filters").alias("f"))

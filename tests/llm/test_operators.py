@@ -158,6 +158,32 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2_000, 100_000, 200_000, 1_000_000, 10_000_000])
+def test_embedding_lists_at_every_size(n):
+    r = np.random.default_rng(2)
+    x, u = r.standard_normal((2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    drawn = embedding_dedup.codes(n, 64)
+    a, b = embedding_dedup.filters(x, drawn), embedding_dedup.filters(y, drawn)
+    assert all(len(set(p)) >= embedding_dedup.LISTED for p in a)
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a, b, strict=True)]) >= 0.985
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 24, 64])
+def test_embedding_dedup_by_filters(spark, dim):
+    r = np.random.default_rng(dim)
+    x = r.standard_normal((900 if dim > 5 else 500, dim))
+    x = np.concatenate([x, x[:300] + 0.3 * r.standard_normal((300, dim))])
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    found = np.array([g["n_links"] for g in sorted(got)])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() > 0
+
+
 def test_secret_scan(spark, odd):
     hexes, key = "0123456789abcdef" * 2, "AKIA" + "A1B2" * 5
     text = f"é password = 'short' Password: \"longer_1\" x {hexes} {key} AKIA123 pwd: zK9#vQ2!mT7 login: password123 TOKEN={hexes}"
