@@ -1,9 +1,10 @@
 """Quality rules by compression bands.
 
-Text that repeats itself compresses far better than prose, and random text (keys, encoded
-binary) hardly compresses at all. The zstandard ratio (compressed / raw bytes) of the whole
-document and of each fixed chunk must lie in a band that depends on the length: short inputs
-carry the frame's overhead and have seen little context, so their band is higher.
+Text that repeats itself compresses far better than prose, and random text (keys, binary in
+base64) far worse. Hexadecimal digits compress about as well as prose, so bands do not tell
+them. The zstandard ratio (compressed / raw bytes) of the whole document and of each fixed
+chunk must lie in a band that depends on the length: short inputs carry the frame's overhead
+and have seen little context, so their band is higher.
 """
 
 from __future__ import annotations
@@ -14,16 +15,31 @@ from pyspark.sql import DataFrame
 
 from rankframe.llm.common import map_texts
 
-#: (bytes up to, lowest ratio, highest ratio) of whole documents.
+#: (bytes up to, lowest ratio, highest ratio) of whole documents. The highest lie between prose and base64
+#: of that length; up to 192 bytes these overlap, and only what does not compress at all is out.
 DOCUMENT_BANDS = (
     (128, 0.0, 9.9),
-    (512, 0.20, 0.98),
-    (2048, 0.16, 0.93),
-    (8192, 0.11, 0.86),
-    (1 << 62, 0.06, 0.82),
+    (192, 0.20, 0.99),
+    (256, 0.20, 0.90),
+    (384, 0.20, 0.84),
+    (512, 0.20, 0.83),
+    (1024, 0.16, 0.78),
+    (2048, 0.16, 0.75),
+    (4096, 0.11, 0.70),
+    (8192, 0.11, 0.66),
+    (1 << 62, 0.06, 0.62),
 )
 #: The same for chunks.
-CHUNK_BANDS = ((128, 0.0, 9.9), (512, 0.12, 0.99), (2048, 0.09, 0.94), (1 << 62, 0.07, 0.90))
+CHUNK_BANDS = (
+    (128, 0.0, 9.9),
+    (192, 0.12, 0.99),
+    (256, 0.12, 0.90),
+    (384, 0.12, 0.84),
+    (512, 0.12, 0.83),
+    (1024, 0.09, 0.78),
+    (2048, 0.09, 0.75),
+    (1 << 62, 0.07, 0.70),
+)
 CHUNK_BYTES = 4096
 #: Share of chunks out of their band from which the document goes.
 CHUNK_SHARE = 0.5

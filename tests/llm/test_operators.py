@@ -1,5 +1,6 @@
 """Operators on training data against brute force and exact round trips, with the odd rows in each fixture."""
 
+import base64
 import hashlib
 import random
 import re
@@ -412,6 +413,22 @@ def test_quality_rules(spark, odd):
     assert len(noise) == 9000
 
 
+@pytest.mark.parametrize("n", [240, 380, 500, 700, 1000, 1500, 2000, 3000, 4096, 6000, 9000, 60000])
+def test_quality_rules_reject_random_text(spark, n):
+    r = random.Random(n)
+    encoded = base64.b64encode(r.randbytes(n)).decode()
+    step = min(60, n // 24)
+    texts = [
+        " ".join(encoded[i : i + step - 1] for i in range(0, n, step))[:n],
+        "".join(r.choice("".join(map(chr, range(33, 127))) + " " * 12) for _ in range(n)),
+        prose(n, n // 5)[:n],
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert not any(g["base_failed"] for g in got)
+    assert [g["kept"] for g in got] == [False, False, True]
+
+
 def test_quality_classifier(spark, odd):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
