@@ -11,7 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import defaultdict
+from importlib.resources import files
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from rankframe.llm.common import map_texts
@@ -23,14 +26,19 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs; those under 24 fail anyway
+NAMES = (
+    "password|passwd|passphrase|passcode|pass|pwd|secret|token|api[_-]?key|access[_-]?key|"
+    "private[_-]?key|credentials?|authorization|auth|bearer|login"
+)
 #: Words that announce a credential, with what may stand between them and the value.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pass|pwd|secret|token|api[_-]?key|access[_-]?key|"""
-    r"""private[_-]?key|credentials?|auth|bearer|login)["']?[\x20\t]*(?:[:=]|=>|->|\bis\b)[\x20\t]*["']?([^\s"'<>,;]+)""",
+    rf"""(?<![A-Za-z0-9])(?:(?:{NAMES})["']?[\x20\t]*(?:[:=]|=>|->|\bis\b)[\x20\t]*["']?(?:(?:bearer|basic)[\x20\t]+)?|"""
+    rf"""(?:bearer|log[\x20-]?in[\x20\t]+with)[\x20\t]+["']?(?!(?:{NAMES})(?![A-Za-z0-9])))([^\s"'<>,;]+)""",
     re.ASCII | re.IGNORECASE,
 )
-HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
-#: Frequent password words, most frequent first; the position is the guess count.
+HINTS = ("log in", "log-in", "pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
+#: Frequent password words, most frequent first, before those of words.txt, in the order of their frequency; the
+#: position is the guess count. words.txt has the whole words of two public BPE vocabularies, each in the order of its merges.
 WORDS = (
     "password 123456 qwerty admin welcome login letmein master hello monkey dragon secret pass test "
     "user root default changeme temp guest summer winter spring autumn love money shadow super "
@@ -40,6 +48,7 @@ WORDS = (
     "january february march april june july august september october november december monday "
     "tuesday wednesday thursday friday saturday sunday"
 ).split()
+WORDS = list(dict.fromkeys(WORDS + files("rankframe.llm").joinpath("words.txt").read_text("ascii").split()))
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST_WORD = max(map(len, WORDS))
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -51,8 +60,8 @@ DATE = re.compile(
 )
 #: A value is a secret from this cost on (powers of ten of guesses), and this length.
 LEAST_LOG10, LEAST_CHARS = 8.0, 6
-#: Longest repeat, walk or date that is looked for at one place; longer ones are cut.
-SPAN = 32
+#: Longest unit of a repeat; the repeat itself may be of any length.
+UNIT = 512
 
 OUT = (
     "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_log10_guesses double"
@@ -65,12 +74,30 @@ def _pool(value: str) -> int:
     return max(10, pool)
 
 
+def copies(value: str) -> dict[int, list[tuple[int, int]]]:
+    """By start, the end and the unit of segments that go on with the unit of two or more characters before them."""
+    found = defaultdict(list)
+    text = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = len(text)
+    for unit in range(2, min(UNIT, n // 2) + 1):
+        same = np.flatnonzero(np.diff(np.r_[False, text[unit:] == text[:-unit], False]))
+        for s, e in zip(same[::2].tolist(), same[1::2].tolist(), strict=True):
+            # value[s : e + unit] has this period; a unit may begin at any place of the first.
+            for a in range(s + unit, min(s + 2 * unit, e + 1)):
+                whole = a + (e + unit - a) // unit * unit
+                found[a].append((whole, unit))
+                if whole < e + unit:
+                    found[a].append((e + unit, unit))
+    return found
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """Least log10 of guesses, and the segmentation (kind, start, end) that attains it.
 
     Each segment multiplies the guesses by its own count and by two for the choice of where
-    to cut. Time is linear in the length: every segment but brute force is at most SPAN long,
-    and brute force grows by single characters.
+    to cut. A repeat of several characters is a segment that copies the unit before it, which
+    is paid for by its own cheapest segments. Time is linear in the length: words and dates have a
+    longest length, repeats and walks are taken whole, and brute force grows by single characters.
     """
     n = len(value)
     if not n:
@@ -84,6 +111,14 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     best, back = [[math.inf, math.inf] for _ in range(n + 1)], [[("", 0, 0), ("", 0, 0)] for _ in range(n + 1)]
     best[0][0] = 0.0
     cut = math.log10(2)
+    # Ends of the run of one character and of the walk from each place, and turns of walks before each place.
+    run, walk, turned = [n] * n, [n] * n, [0] * (n + 1)
+    for a in range(n - 2, -1, -1):
+        run[a] = run[a + 1] if value[a + 1] == value[a] else a + 1
+        walk[a] = walk[a + 1] if low[a + 1] in NEAR.get(low[a], ()) else a + 1
+    for b in range(n):
+        turned[b + 1] = turned[b] + (b > 1 and low[b] == low[b - 2])
+    copied = copies(value)
 
     def offer(kind: str, a: int, b: int, cost: float) -> None:
         to = kind == "brute"
@@ -101,17 +136,12 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 offer("word", a, b, math.log10(rank) + case)
         if value[a].isdigit() and (m := DATE.match(value, a)):
             offer("date", a, m.end(), math.log10(365 * 120 if m.end() - a > 4 else 120))
-        b = a + 1
-        while b < min(n, a + SPAN) and value[b] == value[a]:
-            b += 1
-        if b - a >= 3:
+        if (b := run[a]) - a >= 3:
             offer("repeat", a, b, brute + math.log10(b - a))
-        b, turns = a + 1, 1
-        while b < min(n, a + SPAN) and low[b] in NEAR.get(low[b - 1], ()):
-            turns += b - a > 1 and low[b] == low[b - 2]
-            b += 1
-        if b - a >= 4:
-            offer("walk", a, b, math.log10(47 * (b - a)) + turns * math.log10(3))
+        if (b := walk[a]) - a >= 4:
+            offer("walk", a, b, math.log10(47 * (b - a)) + (1 + turned[b] - turned[a + 2]) * math.log10(3))
+        for b, unit in copied.get(a, ()):
+            offer("repeat", a, b, math.log10(unit + b - a))
     parts, at, k = [], n, int(best[n][1] < best[n][0])
     least = best[n][k]
     while at:

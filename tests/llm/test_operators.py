@@ -226,6 +226,25 @@ def test_guess_cost(value):
     assert cost <= brute_cost(value) + 2  # character classes of parts are no larger than the whole's
 
 
+@pytest.mark.parametrize("text", [
+    "The password is required.", "the secret is patience", "login: required", "Its password is complicated, and the token is mandatory.",
+    "token: abcabcabcabcabcabc", "pwd: " + "asdf" * 30, "pwd: " + "a" * 500, "password: " + "xy7xy7" * 40, "bearer instruments and bearer securities",
+    "You login with friends. Log in with Password: required",
+])
+def test_clean_text_has_no_guess_span(text):
+    assert not [s for s in secret_scan.scan(text)[1]]
+    assert "[guess]" not in secret_scan.redact(text)
+
+
+@pytest.mark.parametrize("text", [
+    "Authorization: Bearer %s", "header Bearer %s here", "please login with %s.", "Log in with %s", "Authorization: Basic %s", "pwd: %s", "login with password: %s",
+])
+def test_credentials_in_context(text):
+    base, more, _ = secret_scan.scan(text % "zK9#vQ2!mT7")
+    found = [(text % "zK9#vQ2!mT7")[a:b] for _, a, b in base + more]
+    assert any("zK9" in f for f in found) and [f for f in found if f == "zK9#vQ2!mT7"]
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
