@@ -17,7 +17,7 @@ from rankframe.llm.common import map_texts
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist audio video canvas object svg math param source track meta link base".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist audio video canvas object param source track meta link base".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
@@ -28,6 +28,11 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre search section table ul xmp".split()
 )
+#: What is not rendered below svg and math, by their tags in lower case.
+UNSEEN = {
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset(("annotation", "annotation-xml")),
+}
 #: A start tag ends these open elements, looking no further up than the tags of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -50,26 +55,96 @@ DEPTH = 150
 TAG = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 REST = re.compile(r"""[^\s/>]*(?:[^"'>]|"[^"]*"|'[^']*')*?(?=>)""")
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RULE = re.compile(r"([^{}@]+)\{([^{}]*)\}")
+AT_RULE = re.compile(r"[{};]")
+DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([\w-]+)[^;}]*?(!\s*important)?\s*(?=[;}]|$)")
+FEATURE = re.compile(r"\(([^()]*)\)")
+#: The screen by which media queries are decided, in pixels.
+SCREEN = {"width": 1280, "height": 800}
 SPACE = re.compile(r"[ \t\n\r\f]+")
-DISPLAY = re.compile(r"display\s*:\s*none")
-VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+#: By property: whether important, the place in the style sheets, the value.
+Style = dict[str, tuple[bool, int, str]]
 
 
 class Node:
-    """An element; children are elements and strings."""
+    """An element; children are elements and strings. own_line is for text of drawings."""
 
-    __slots__ = ("attrs", "children", "depth", "tag")
+    __slots__ = ("attrs", "children", "depth", "own_line", "tag", "unseen")
 
     def __init__(self, tag: str, attrs: dict[str, str], depth: int):
         self.tag, self.attrs, self.depth, self.children = tag, attrs, depth, []
-
-
-def parse(source: str) -> tuple[Node, dict[str, str]]:
+        self.own_line = self.unseen = False
+
+
+def on_screen(query: str) -> bool:
+    """Whether a list of media queries, in lower case, holds on SCREEN; features that are not known do not hold."""
+
+    def feature(f: str) -> bool:
+        name, _, value = (x.strip() for x in f.partition(":"))
+        size = re.fullmatch(r"(\d*\.?\d+)(px|em|rem)?", value)
+        for side, have in SCREEN.items():
+            if name in (f"min-{side}", f"max-{side}") and size:
+                want = float(size[1]) * (1 if size[2] in (None, "px") else 16)
+                return have >= want if name.startswith("min") else have <= want
+        return (name, value) in {
+            ("orientation", "landscape"), ("prefers-color-scheme", "light"), ("hover", "hover"), ("pointer", "fine"), ("scripting", "none"),
+            ("color", ""), ("hover", ""), ("pointer", ""), ("any-hover", "hover"), ("any-pointer", "fine"), ("prefers-reduced-motion", "no-preference"),
+        }
+
+    def one(q: str) -> bool:
+        words = FEATURE.sub(" ", q).split()
+        kinds = [w for w in words if w not in ("and", "not", "only", "or")]
+        if any("(" in w or ")" in w for w in kinds):
+            return False
+        held = [feature(f) for f in FEATURE.findall(q)]
+        fine = all(k in ("all", "screen") for k in kinds) and (any(held) if "or" in words else all(held))
+        return not fine if "not" in words else fine
+
+    return not query.strip() or any(one(q) for q in query.split(","))
+
+
+def rules(css: str):
+    """(selectors, declarations) of the rules of a style sheet, in lower case, that apply on a screen."""
+    # Of each open block: whether what it holds counts, and the selectors if it is a rule.
+    blocks: list[tuple[bool, str | None]] = []
+    at = 0
+    for m in AT_RULE.finditer(css):
+        live = not blocks or blocks[-1][0]
+        if m[0] == "{":
+            head = css[at : m.start()].strip()
+            if head.startswith("@"):
+                name, _, query = head.replace("(", " (", 1).partition(" ")
+                fine = name == "@layer" or (name == "@media" and on_screen(query)) or (name == "@supports" and not query.strip().startswith("not"))
+                blocks.append((live and fine, None))
+            else:
+                blocks.append((live, head))
+            at = m.end()
+        elif m[0] == "}":
+            if blocks:
+                fine, head = blocks.pop()
+                if fine and head is not None:
+                    yield head, css[at : m.start()]
+            at = m.end()
+        elif not blocks or blocks[-1][1] is None:
+            at = m.end()  # @import and the like
+    if blocks and blocks[-1][0] and blocks[-1][1] is not None:
+        yield blocks[-1][1], css[at:]  # the end of the sheet closes what is open
+
+
+def declared(body: str, order: int) -> Style:
+    """The display and visibility that hold of a rule's declarations."""
+    own: Style = {}
+    for name, value, important in DECLARED.findall(body):
+        if important or not own.get(name, (False,))[0]:
+            own[name] = (bool(important), order, value)
+    return own
+
+
+def parse(source: str) -> tuple[Node, dict[str, Style]]:
     """The tree, and declarations of style sheets by simple selector (tag, .class, #id)."""
     root = Node("html", {}, 0)
     stack, styles = [root], {}
-    at, n = 0, len(source)
+    at, n, order = 0, len(source), 0
+    drawn = re.search(r"<(?:svg|math)\b", source, re.IGNORECASE) is not None
 
     def close(tags, stop) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -139,16 +214,27 @@ def parse(source: str) -> tuple[Node, dict[str, str]]:
             stack.append(row)
         node = Node(tag, attrs, len(stack))
         stack[-1].children.append(node)
+        around = next((x.tag for x in reversed(stack) if x.tag in UNSEEN), None) if drawn else None
+        if around:
+            node.unseen = tag in UNSEEN[around]
+            node.own_line = around == "svg" and tag == "text"
+        if (around or tag in UNSEEN) and inside.endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
             inner = source[at : end.start() if end else n]
             at = n if end is None else source.find(">", end.end()) + 1 or n
             node.children.append(inner)
-            if tag == "style" and ("display" in inner or "visibility" in inner):
-                for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", inner, flags=re.DOTALL)):
-                    for s in selectors.split(","):
-                        if re.fullmatch(r"[.#]?[\w-]+", s := s.strip().lower()):
-                            styles[s] = styles.get(s, "") + body.lower() + ";"
+            low = inner.lower() if tag == "style" else ""
+            if ("display" in low or "visibility" in low) and on_screen(attrs.get("media", "").lower()):
+                for selectors, body in rules(re.sub(r"/\*.*?(?:\*/|$)|<!--|-->", "", low, flags=re.DOTALL)):
+                    order += 1
+                    own = declared(body, order)
+                    for sel in selectors.split(",") if own else ():
+                        if re.fullmatch(r"[.#]?[\w-]+", sel := sel.strip()):
+                            known = styles.setdefault(sel, {})
+                            for name, what in own.items():
+                                known[name] = max(known.get(name, what), what)
         elif tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
     return root, styles
@@ -192,26 +278,38 @@ class Page:
             self.gap = 1
 
 
-def _hidden(node: Node, styles: dict[str, str], visible: bool) -> tuple[bool, bool]:
-    """(not rendered at all, visible by the visibility property)."""
+def _hidden(node: Node, styles: dict[str, Style], visible: bool) -> tuple[bool, bool]:
+    """(not rendered at all, visible by the visibility property).
+
+    Of several declarations the important one wins, then that of the style attribute, an id, a class,
+    a tag, then the last one. The standard hides by default what an author's display shows again.
+    """
     a = node.attrs
-    if node.tag in HIDDEN or (a and ("hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"))):
+    if node.tag in HIDDEN or node.unseen or (a and node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return True, visible
+    gone = "hidden" in a or (node.tag == "dialog" and "open" not in a)
     if not a and not styles:
-        return False, visible
-    css = styles.get(node.tag, "") if styles else ""
-    if a and styles:
-        css += "".join(styles.get("." + c, "") for c in a.get("class", "").lower().split()) + styles.get("#" + a.get("id", "").lower(), "")
-    css += a.get("style", "").lower() if a else ""
-    if css:
-        if DISPLAY.search(css):
-            return True, visible
-        for v in VISIBLE.findall(css):
-            visible = v == "visible"
-    return False, visible
-
-
-def _walk(node: Node, page: Page, styles: dict[str, str], visible: bool, pre: bool, lists: int) -> None:
+        return gone, visible
+    found = []
+    if styles:
+        found.append((0, styles.get(node.tag)))
+        if a:
+            found += [(1, styles.get("." + c)) for c in a.get("class", "").lower().split()]
+            found.append((2, styles.get("#" + a.get("id", "").lower())))
+    if a and ("style" in a):
+        found.append((3, declared(entities.unescape(a["style"]).lower(), 0)))
+    best: dict[str, tuple] = {}
+    for rank, own in found:
+        for name, (important, order, value) in (own or {}).items():
+            best[name] = max(best.get(name, (False, -1, 0, "")), (important, rank, order, value), key=lambda x: x[:3])
+    if "display" in best:
+        gone = best["display"][3] == "none"
+    if "visibility" in best and best["visibility"][3] in ("hidden", "collapse", "visible"):
+        visible = best["visibility"][3] == "visible"
+    return gone, visible
+
+
+def _walk(node: Node, page: Page, styles: dict[str, Style], visible: bool, pre: bool, lists: int) -> None:
     gone, visible = _hidden(node, styles, visible)
     if gone:
         return
@@ -228,7 +326,7 @@ def _walk(node: Node, page: Page, styles: dict[str, str], visible: bool, pre: bo
         _table(node, page, styles, visible)
         page.block(True)
         return
-    block = tag in BLOCK
+    block = tag in BLOCK or node.own_line
     spaced = tag in SPACED and not (lists and tag in ("ul", "ol", "menu", "dir"))
     if block:
         page.block(spaced)
@@ -285,12 +383,12 @@ def _walk(node: Node, page: Page, styles: dict[str, str], visible: bool, pre: bo
     del page.prefix[depth:]
 
 
-def _rows(node: Node, styles: dict[str, str], visible: bool):
-    """(row or caption or stray, visibility) below a table, in order."""
+def _rows(node: Node, styles: dict[str, Style], visible: bool):
+    """(row or caption or stray, visibility, the table or its part) below a table, in order."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip() and visible:
-                yield child, visible
+                yield child, visible, node
             continue
         gone, seen = _hidden(child, styles, visible)
         if gone:
@@ -298,10 +396,18 @@ def _rows(node: Node, styles: dict[str, str], visible: bool):
         if child.tag in ("thead", "tbody", "tfoot"):
             yield from _rows(child, styles, seen)
         else:
-            yield child, visible
+            yield child, visible, node
+
+
+def _span(cell: Node | str, name: str, most: int) -> int:
+    """How many columns or rows a cell spans; 0 rows are all that follow."""
+    text = "1" if isinstance(cell, str) else cell.attrs.get(name, "1").strip()
+    if not re.fullmatch(r"[0-9]{1,9}", text):
+        return 1
+    return min(int(text), most) or (most if name == "rowspan" else 1)
 
 
-def _table(node: Node, page: Page, styles: dict[str, str], visible: bool) -> None:
+def _table(node: Node, page: Page, styles: dict[str, Style], visible: bool) -> None:
     grid: list[list[list[str]] | None] = []
     other: list[list[str]] = []
 
@@ -314,13 +420,19 @@ def _table(node: Node, page: Page, styles: dict[str, str], visible: bool) -> Non
         sub.flush()
         return sub.lines
 
-    for row, seen in _rows(node, styles, visible):
+    # By column, in how many more rows of the part of the table a cell from above goes on.
+    above: dict[int, int] = {}
+    part = node
+    for row, seen, own in _rows(node, styles, visible):
+        if own is not part:
+            above, part = {}, own
         if isinstance(row, str) or row.tag != "tr":
             grid.append(None)
             other.append(render(row, seen))
             continue
         gone, seen = _hidden(row, styles, seen)
-        cells = []
+        cells: list[list[str]] = []
+        below: dict[int, int] = {}
         for cell in row.children:
             if isinstance(cell, str) and not cell.strip():
                 continue
@@ -328,9 +440,13 @@ def _table(node: Node, page: Page, styles: dict[str, str], visible: bool) -> Non
                 continue
             if isinstance(cell, str) and not seen:
                 continue
-            cells.append(render(cell, seen))
-            span = cell.attrs.get("colspan", "1") if not isinstance(cell, str) else "1"
-            cells += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) and int(span) else 0)
+            while len(cells) in above:
+                cells.append([])
+            at, span = len(cells), _span(cell, "colspan", 100)
+            cells += [render(cell, seen)] + [[]] * (span - 1)
+            if (rows := _span(cell, "rowspan", 65534)) > 1:
+                below |= dict.fromkeys(range(at, at + span), rows - 1)
+        above = {c: k - 1 for c, k in above.items() if k > 1} | below
         grid.append(cells)
     width: list[int] = []
     for cells in grid:

@@ -356,6 +356,32 @@ def test_html_rules():
     assert show("<td>x</td>") == "x"
 
 
+def test_html_visibility():
+    show = html_extract.render
+    assert show("<p>Let <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></semantics></math> hold") == "Let x=2 hold"
+    svg = "<svg><defs/><title>t</title><path d='M0'/><defs><text>no</text></defs><text x='1'>Label</text><text>Two<tspan>!</tspan></text></svg>"
+    assert show(f"a{svg}b") == "a\nLabel\nTwo!\nb"
+    assert show("<style>@media print { nav, .article { display: none } }</style><nav>n</nav><div class=article>text</div>") == "n\ntext"
+    assert show("<style>@media screen { .x { display: none } } .y{display:none}</style><i class=x>n</i><i class=y>m</i>k") == "k"
+    assert show("<style>@media (max-width: 600px) { .x { display: none } }</style><i class=x>yes</i>") == "yes"
+    assert show("<style>@media screen and (min-width: 40em) { .x { display: none } }</style><i class=x>no</i>k") == "k"
+    assert show("<style media=print>.x{display:none}</style><i class=x>yes</i>") == "yes"
+    assert show("<style>@import 'a.css'; @font-face{src:url(x)} .x{display:none}</style><i class=x>no</i>k") == "k"
+    assert show("<style>.x{display:none} .x{display:block}</style><i class=x>yes</i>") == "yes"
+    assert show("<style>.x{display:none}</style><i class=x style='display:inline'>yes</i>") == "yes"
+    assert show("<style>.x{display:none!important}</style><i class=x style='display:inline'>no</i>k") == "k"
+    assert show("<style>.b{display:block}.a{display:none}</style><i class='a b'>no</i>k") == "k"
+    assert show("<dialog>no</dialog>a<dialog open>yes</dialog>") == "a\nyes"
+    assert show("<style>#x{display:block}</style><p hidden>no<p hidden id=x>yes") == "yes"
+
+
+def test_html_rowspan():
+    show = html_extract.render
+    assert show("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>") == "aa  b\n    c\nd   e"
+    assert show("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e</table>").splitlines() == ["a  b    c", "d       e"]
+    assert show("<table><tbody><tr><td rowspan=3>aa<td>b</tbody><tbody><tr><td>c<td>d</table>") == "aa  b\nc   d"
+
+
 def test_html_query(spark):
     got = queries.op1_html_extraction(spark, SF).collect()
     assert len(got) == 50
