@@ -22,14 +22,17 @@ def log2_floor(x: Column) -> Column:
 
 
 def roundup2(x: Column) -> Column:
-    """The least power of two >= x; 0 for x <= 0."""
+    """The least power of two >= x; 0 for x <= 0, null where a bigint cannot hold it."""
     x = x.cast("long")
-    return F.when(x <= 0, F.lit(0)).when(x == 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.length(F.bin(x - 1))).cast("long")).cast("long")
+    width = F.length(F.bin(x - 1))
+    up = F.when(x == 1, F.lit(1).cast("long")).when(width < 63, F.call_function("shiftleft", F.lit(1).cast("long"), width))
+    return F.when(x <= 0, F.lit(0).cast("long")).when(x > 0, up)
 
 
 def align_up(x: Column, n: int) -> Column:
-    """x rounded up to a multiple of n, for x >= 0."""
-    return (F.floor((x.cast("long") + (n - 1)) / n) * n).cast("long") if n & (n - 1) else (x.cast("long") + (n - 1)).bitwiseAND(F.lit(-n).cast("long"))
+    """x rounded up to a multiple of n, for x >= 0, in integers; null where a bigint cannot hold it."""
+    x = x.cast("long")
+    return F.try_add(x, F.pmod(-x, F.lit(n).cast("long")))
 
 
 def parse_int(s: Column, bits: int = 32) -> Column:

@@ -16,9 +16,9 @@ def split_offsets(df: DataFrame, type_col: str, types: int) -> DataFrame:
 
 
 def uniq_last(df: DataFrame, by: list[str], key: str, pos: str) -> DataFrame:
-    """Of each run of equal adjacent keys along pos, the last row."""
-    nxt = F.lead(key).over(Window.partitionBy(*by).orderBy(pos))
-    return df.withColumn("__next", nxt).where(~F.col(key).eqNullSafe(F.col("__next")) | F.col("__next").isNull()).drop("__next")
+    """Of each run of equal adjacent keys along pos, the last row; nulls are equal to each other."""
+    nxt = F.lead(F.struct(F.col(key).alias("k"))).over(Window.partitionBy(*by).orderBy(pos))  # null at the end only
+    return df.withColumn("__next", nxt).where(F.col("__next").isNull() | ~F.col(key).eqNullSafe(F.col("__next")["k"])).drop("__next")
 
 
 def first_per_key(df: DataFrame, key: list[str], pos: str) -> DataFrame:

@@ -101,6 +101,6 @@ def view(df: DataFrame, pos: str, offset: int, length: int) -> DataFrame:
 
 def reshape(df: DataFrame, pos: str, value: str, width: int) -> DataFrame:
     """Elements regrouped by width: row p holds elements p*width .. p*width + width - 1 in order."""
-    chunk = F.floor(F.col(pos) / width).cast("long")
+    chunk = F.expr(f"`{pos}` div {int(width)}")
     items = F.sort_array(F.collect_list(F.struct(F.col(pos), F.col(value))))
     return df.groupBy(chunk.alias("chunk")).agg(F.transform(items, lambda s: s[value]).alias("items"))

@@ -25,8 +25,9 @@ def reduce_slots(df: DataFrame, slot: str, value: str, ops: list[str], rank: str
 
 
 def allreduce(df: DataFrame, slot: str, value: str, op: str, out: str, rank: str = "rank") -> DataFrame:
-    """Every row gets the reduction of its slot. The reduction has a row per slot; Spark broadcasts it if that is small."""
-    return df.join(df.groupBy(slot).agg(OPS[op](F.col(value), F.col(rank)).alias(out)), slot)
+    """Every row gets the reduction of its slot, a null slot being one. The reduction has a row per slot; Spark broadcasts it if that is small."""
+    per = df.groupBy(F.col(slot).alias("__slot")).agg(OPS[op](F.col(value), F.col(rank)).alias(out))
+    return df.join(per, F.col(slot).eqNullSafe(F.col("__slot"))).drop("__slot")
 
 
 def reduce_custom(df: DataFrame, slot: str, value: str, rank: str, zero: Column, merge: Callable[[Column, Column], Column]) -> DataFrame:
@@ -82,4 +83,4 @@ def comm_split(df: DataFrame, color: str, key: str, rank: str) -> DataFrame:
 
 def nodes(df: DataFrame, rank: str, per_node: int) -> DataFrame:
     """Node of each rank, and its rank there."""
-    return df.withColumn("node", F.floor(F.col(rank) / per_node).cast("long")).withColumn("intra", (F.col(rank) % per_node).cast("long"))
+    return df.withColumn("node", F.expr(f"`{rank}` div {int(per_node)}")).withColumn("intra", (F.col(rank) % per_node).cast("long"))

@@ -495,7 +495,7 @@ def rng_normal_poisson(spark, sf):
     return _t(spark, sf, "supplier").select("s_suppkey", rng.normal(F.col("s_suppkey") * 1000).alias("normal"), rng.poisson(F.col("s_suppkey") * 1000, F.lit(20.0)).alias("poisson"))
 
 
-_U = "CAST(9223372036854770000 + p_partkey AS UHUGEINT) * '18446744073709551616'::UHUGEINT + CAST(9223372036854775807 AS UHUGEINT) + CAST(p_size AS UHUGEINT)"
+_U = "(CAST(9223372036854770000 AS UHUGEINT) + CAST(p_partkey AS UHUGEINT)) * '18446744073709551616'::UHUGEINT + CAST(9223372036854775807 AS UHUGEINT) + CAST(p_size AS UHUGEINT)"
 
 
 @_query(f"""SELECT p_partkey, lpad(hex(a + b), 32, '0') AS total, lpad(hex(a - b), 32, '0') AS less, lpad(hex(a // 137438953472), 32, '0') AS halved, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS cmp
@@ -503,7 +503,9 @@ FROM (SELECT p_partkey, {_U} AS a, CAST(p_partkey AS UHUGEINT) * '18446744073709
 def uint128(spark, sf):
     p, s = F.col("p_partkey"), F.col("p_size").cast("long")
     big = F.lit(-(1 << 63)) + (s - 1)  # 2^63 - 1 + s as unsigned
-    a, b = u128.make(F.lit(9223372036854770000) + p, F.when(s >= 1, big).otherwise(F.lit(9223372036854775807))), u128.make(p, s * 1000003)
+    # 9223372036854770000 + p_partkey as unsigned, without passing the largest bigint on the way
+    high = F.lit(9223372036854770000 - (1 << 63)) + p
+    a, b = u128.make(high.bitwiseXOR(F.lit(-(1 << 63))), F.when(s >= 1, big).otherwise(F.lit(9223372036854775807))), u128.make(p, s * 1000003)
 
     join = lambda v: F.concat(F.lpad(F.hex(v["hi"]), 16, "0"), F.lpad(F.hex(v["lo"]), 16, "0"))
     df = _t(spark, sf, "part").select(p, a.alias("a"), b.alias("b"))
