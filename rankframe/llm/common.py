@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 #: Java's form of "a run of characters other than ASCII white space".
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,9 +87,29 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Arrow batches hold at most so many rows, as a few long texts fill the memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most BATCH_ROWS rows, as a few long texts fill the memory.
+
+    Spark reads this session option when a query starts, which may be long after an operator returned
+    its frame. So all operators ask for the same bound, and none raises one that is lower. Spark's own
+    bound by bytes (spark.sql.execution.arrow.maxBytesPerBatch) holds besides.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def whole_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """Each row of df as one column ``row``, beside columns of an operator's own, whose names cannot clash then.
+
+    select("row.*") gives df's columns back.
+    """
+    return df.select(F.struct(*columns(df)).alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
 def map_texts(
@@ -125,12 +146,17 @@ def map_texts(
     return src.mapInArrow(run, schema)
 
 
-def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, bits: int = 6) -> DataFrame:
+def rank_bits(rows: int) -> int:
+    """For spread_rank(): so many bits that a range of a key which holds all rows has about a million of them, and 64 ranges at least."""
+    return max(6, (rows >> 20).bit_length())
+
+
+def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, bits: int) -> DataFrame:
     """Add column rank: 0, 1, .. within the keys, in the order of the hash of ``order``.
 
-    A key may hold a third of all rows: each key is dealt into 2**bits ranges of the hash,
-    ranked by themselves, and shifted by the counts of the ranges before. Rows that agree in
-    ``order`` are interchangeable, so reruns give the same rows. Null keys are a key.
+    A key may hold a third of all rows: each key is dealt into 2**bits ranges of the hash (see
+    rank_bits()), ranked by themselves, and shifted by the counts of the ranges before. Rows that agree
+    in ``order`` are interchangeable, so reruns give the same rows. Null keys are a key.
     """
     h = F.xxhash64(*[F.col(c) for c in order])
     part = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int")

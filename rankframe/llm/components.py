@@ -1,7 +1,9 @@
 """Connected components of a link table by alternating star operations (Kiveris et al., 2014).
 
 Each round joins every node to the least node it knows, first among its larger and then among
-its smaller neighbours. Joins only shuffle links; rounds are written to the shared folder.
+its smaller neighbours. Joins only shuffle links; rounds are written to the shared folder. The least
+neighbours are written too before links meet them: a join of two plain shuffles is one that adaptive
+execution splits where a node has a large share of all links, or does without where it is small.
 """
 
 from __future__ import annotations
@@ -58,14 +60,14 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = mark
         both = edges.select("u", "v").union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least, first = save_at(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, old = save_at(large, "links"), path
-        least = large[0].groupBy("u").agg(F.min("v").alias("m"))
+        least, second = save_at(large[0].groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large[0].join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         edges, path = save_at(small.where("u <> v").distinct(), "links")
-        drop(spark, old)
-        drop(spark, large[1])
+        for done in (old, large[1], first, second):
+            drop(spark, done)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, map_texts, save, trim
+from rankframe.llm.common import bounded_batches, map_texts, save, trim, whole_rows
 from rankframe.llm.components import components, forest
 
 #: Sets of which a task remembers that it has posted them.
@@ -350,17 +350,18 @@ def _fetch(src: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFram
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The rows of docs without those that link to one with a smaller doc_id: one of each group stays.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay. Only rows that a bitmap cannot
-    clear are shuffled with their texts.
+    Null and empty texts, and texts without words, link with nothing and stay. Of rows that repeat a doc_id one
+    stays; rows with a null doc_id all stay. An empty table gives no rows. Only rows that a bitmap cannot clear
+    are shuffled with their texts, and a row with a repeated id is pre-aggregated first.
     """
     found = jaccard_components(docs, doc_id, text, words, num, den).where("doc_id is not null")
     per = save(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")), "groups")
-    touched = per.where("c <> doc_id or n > 1").select(F.col("doc_id").alias("__id"), (F.col("c") == F.col("doc_id")).alias("__stays"))
+    touched = per.where("c <> doc_id or n > 1").select(F.col("doc_id").alias("known"), (F.col("c") == F.col("doc_id")).alias("stays"))
     touched = save(touched, "touched")
-    bits, n = bitmap(touched, "__id")
-    marked = docs.withColumn("__maybe", F.coalesce(F.col(doc_id).isNotNull() & maybe_in(bits, n, f"`{doc_id}`"), F.lit(False)))
-    clear = marked.where("not __maybe").select(*docs.columns)
-    some = marked.where("__maybe").join(touched, F.col(doc_id) == F.col("__id"), "left").where("__id is null or __stays")
-    order = Window.partitionBy(doc_id).orderBy(*[F.col(c) for c in docs.columns])
-    once = some.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(*docs.columns)
-    return clear.unionByName(once)
+    bits, n = bitmap(touched, "known")
+    rows = whole_rows(docs, id=F.col(f"`{doc_id}`").cast("long"))
+    rows = rows.withColumn("maybe", F.coalesce(F.col("id").isNotNull() & maybe_in(bits, n, "id"), F.lit(False)))
+    clear = rows.where("not maybe").select("row")
+    some = rows.where("maybe").join(touched, F.col("id") == F.col("known"), "left").where("known is null or stays")
+    once = some.groupBy("id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return clear.unionByName(once).select("row.*")
