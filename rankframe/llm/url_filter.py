@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: Deepest path prefix of a capture that is looked up; entries deeper than this match nothing.
-PATH_DEPTH = 8
-
 
 def host_of(url: Column) -> Column:
     """The host in lower case, without user, port and the dot of the root; null where there is none."""
@@ -23,20 +20,25 @@ def host_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, host)
 
 
-def keys_of(url: Column) -> Column:
-    """All entries that would cover the URL: the host, its parents, and host and path prefixes."""
+def keys_of(url: Column, depth: int) -> Column:
+    """All entries that would cover the URL: the host, its parents, and host and path prefixes of up to depth segments."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(".", F.slice(labels, i, n - i + 1)))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
-    parts = F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, PATH_DEPTH)
-    whole = F.concat_ws("/", host, F.concat_ws("/", parts))
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    deep = F.least(F.size(parts), F.lit(depth))
     below = F.transform(
-        F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>")),
+        F.when(deep > 0, F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>")),
         lambda i: F.concat_ws("/", host, F.concat_ws("/", F.slice(parts, 1, i))),
     )
-    return F.when(host.isNotNull(), F.array_distinct(F.concat(parents, below, F.when(F.size(parts) > 0, F.array(whole)).otherwise(F.array().cast("array<string>")))))
+    return F.when(host.isNotNull(), F.array_distinct(F.concat(parents, below)))
+
+
+def depth_of(entry: Column) -> Column:
+    """Segments of an entry's path."""
+    return F.size(F.split(entry, "/")) - 1
 
 
 def validity(changes: DataFrame) -> DataFrame:
@@ -59,16 +61,19 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
 
     n_lists counts the lists with an entry valid at the fetch; entry is the most specific one
     (the longest, then the first by code point). A capture without a host or without a fetch
-    time matches nothing, and so does an empty list. Repeated rows come out repeated.
+    time matches nothing, and so does an empty list. Repeated rows come out repeated, rows with a
+    null page_id too; other columns of captures are ignored.
 
-    The keys of captures meet the lists' entries in an equi-join with the validity as its
-    condition, so a capture yields a row per list and entry that holds, and no more. A host that
-    holds a third of all captures makes a skewed join, which adaptive execution splits; matches are
-    aggregated per distinct capture before they meet the captures again.
+    Keys are made where captures are scanned, down to the path of the deepest entry (one number from
+    the lists). They meet the lists' entries in an equi-join with the validity as its condition, so
+    a capture yields a row per list and entry that holds, and no more. A host that holds a third of all
+    captures makes a skewed join, which adaptive execution splits; matches are aggregated per
+    capture before they meet the captures again.
     """
     src = captures.select("page_id", "url", F.col("fetched").cast("date").alias("fetched"))
     spans = validity(changes)
-    keyed = src.where("url is not null and fetched is not null").distinct().withColumn("key", F.explode(keys_of(F.col("url"))))
+    depth = spans.agg(F.max(depth_of(F.col("entry")))).first()[0] or 0
+    keyed = src.where("url is not null and fetched is not null").withColumn("key", F.explode(keys_of(F.col("url"), depth)))
     hit = keyed.join(
         spans,
         (keyed["key"] == spans["entry"])
