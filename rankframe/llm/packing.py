@@ -3,9 +3,9 @@
 Each document is cut at every full window; what is left is a piece shorter than a window.
 Only the histogram of piece lengths, which the window bounds, goes to the driver. There,
 shallow combinations of lengths that fill a window become columns of a matrix, repeat counts
-are fitted to the histogram by non-negative least squares and rounded down, and the rest is
-packed greedily. The plan is a short table of ranges; each piece finds its place by its rank
-among the pieces of its length.
+are fitted to the histogram by non-negative least squares and rounded, and the rest is fitted again
+or packed greedily. The plan is a table of ranges; each piece finds its place by its rank among the
+pieces of its length.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, save, spread_rank, trim, worker_cache
+from rankframe.llm.common import bounded_batches, rank_bits, save, spread_rank, trim, worker_cache
 
 WINDOW = 2048
 #: The id that ends each document.
@@ -26,8 +26,9 @@ END_ID = 1
 #: Words kept with their ids by each Python worker, in each of two generations.
 CACHE_WORDS = 700_000
 #: Lengths tried as second piece beside each first one.
-PARTNERS = 48
-STEPS = 300
+PARTNERS = 12
+#: Rounds of the fit at most, what a window of padding costs in it, and the repeat count from which a combination is taken.
+ROUNDS, WASTE, LEAST_REPEATS = 40, 0.2, 0.02
 
 
 def _tokenizer(path: str):
@@ -96,12 +97,36 @@ def pieces(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
     ]
 
 
-def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Rows of up to three lengths (0: none), longest first, that fill the window or nearly.
+#: A combination of lengths: each length with how often it occurs, longest first.
+Combination = tuple[tuple[int, int], ...]
+
+
+def largest_fit(counts: np.ndarray, window: int) -> list[tuple[Combination, int]]:
+    """Fill windows with the longest pieces left that still fit, each combination as often as its pieces last."""
+    left, out = counts.copy(), []
+    left[0] = 0
+    while (rest := np.flatnonzero(left)).size:
+        used, room, spare = [], window, rest
+        while spare.size:
+            v = int(spare[-1])
+            k = min(int(left[v]), room // v)
+            used.append((v, k))
+            room -= v * k
+            spare = spare[: min(len(spare) - 1, np.searchsorted(spare, room, side="right"))]
+        n = min(int(left[v]) // k for v, k in used)
+        out.append((tuple(used), n))
+        for v, k in used:
+            left[v] -= n * k
+    return out
+
+
+def combinations(counts: np.ndarray, window: int) -> list[Combination]:
+    """Combinations that fill the window or nearly: those of largest_fit(), and shallow ones of up to three lengths.
 
     To each first length go PARTNERS second lengths, the exact complement among them, and the
     longest third length that still fits.
     """
+    lengths = np.flatnonzero(counts)
     have = np.zeros(window + 1, dtype=bool)
     have[lengths] = True
     below = np.maximum.accumulate(np.where(have, np.arange(window + 1), 0))  # longest that fits
@@ -114,68 +139,78 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
         second = np.unique(np.r_[second, min(below[room], first), 0])
         third = np.minimum(below[room - second], second)
         rows.append(np.c_[np.full(len(second), first), second, third])
-    rows = np.unique(np.concatenate(rows), axis=0)
-    fill = rows.sum(axis=1)
-    return rows[fill >= window - window // 64]
+    every = np.unique(np.concatenate(rows), axis=0)[::-1]
+    every = every[every.sum(axis=1) >= window - window // 256]
+    out = dict.fromkeys(used for used, _ in largest_fit(counts, window))
+    out |= dict.fromkeys(tuple((v, row.count(v)) for v in dict.fromkeys(row) if v) for row in every.tolist())
+    return list(out)
 
 
-def nnls(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """x >= 0 that minimises |A x - counts|, A[l, j] being how often row j holds length l.
+def nnls(columns: list[Combination], counts: np.ndarray, window: int) -> list[float]:
+    """x >= 0 that minimises |A x - counts|, A[l, j] being how often column j holds length l, and WASTE per padded window.
 
-    Projected gradient with momentum; each column has at most three entries, so it is stored as its rows.
+    Errors count relative to the square root of the counts, so that rare lengths matter too. Coordinate descent: a
+    column has few lengths, so each step solves its own count exactly, and rounds go on until x stays.
     """
-    weight = 1.0 / np.sqrt(np.maximum(counts, 1.0))  # relative errors: rare lengths count too
-    weight[0] = 0.0
-    x = y = np.zeros(len(rows))
-    t = 1.0
-    per = np.bincount(rows.ravel(), minlength=len(counts)) * weight**2
-    step = 1.0 / max(1e-12, 3 * float(per.max()))
-    for _ in range(STEPS):
-        got = np.bincount(rows.ravel(), weights=np.repeat(y, 3), minlength=len(counts))
-        slope = ((got - counts) * weight**2)[rows].sum(axis=1)
-        nxt = np.maximum(0.0, y - step * slope)
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        x, y, t = nxt, np.maximum(0.0, nxt + (t - 1) / s * (nxt - x)), s
+    weight = [1.0 / max(1.0, float(c)) for c in counts]
+    miss = [float(c) for c in counts]
+    own = []
+    for used in columns:
+        padding = window - sum(v * k for v, k in used)
+        own.append((used, sum(weight[v] * k * k for v, k in used), WASTE * padding / window))
+    x = [0.0] * len(columns)
+    for _ in range(ROUNDS):
+        moved = 0.0
+        for j, (used, square, waste) in enumerate(own):
+            slope = -waste
+            for v, k in used:
+                slope += weight[v] * k * miss[v]
+            if slope <= 0 and not x[j]:
+                continue
+            step = max(-x[j], slope / square)
+            x[j] += step
+            moved += abs(step)
+            for v, k in used:
+                miss[v] -= k * step
+        if moved < 1e-3 * sum(x):
+            break
     return x
 
 
 def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) so that each length is used exactly as often as counts says."""
+    """(lengths, repeats), as fitted() has them, each length as often as it occurs."""
+    return [(tuple(v for v, k in used for _ in range(k)), n) for used, n in fitted(counts, window)]
+
+
+def fitted(counts: np.ndarray, window: int = WINDOW) -> list[tuple[Combination, int]]:
+    """(combination, repeats) so that each length is used exactly as often as counts says.
+
+    Repeat counts are fitted, and rounded down; where they are below one, the likeliest are taken once
+    until half of the tokens are placed. What is left is fitted anew, and packed greedily once fitting places
+    less than a tenth of it.
+    """
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = []
+    out: list[tuple[Combination, int]] = []
     if left[window]:
-        out.append(((window,), int(left[window])))
+        out.append((((window, 1),), int(left[window])))
         left[window] = 0
-    lengths = np.flatnonzero(left)
-    rows = combinations(lengths, window) if len(lengths) else np.zeros((0, 3), dtype=int)
-    if len(rows):
-        x = nnls(rows, left.astype(float))
-        for j in np.argsort(-x, kind="stable"):
-            if x[j] < 1:
+    sizes = np.arange(len(left))
+    while tokens := int((left * sizes).sum()):
+        columns, placed = combinations(left, window), 0
+        x = nnls(columns, left, window)
+        for j in sorted(range(len(x)), key=lambda j: -x[j]):
+            if x[j] < LEAST_REPEATS or (x[j] < 1 and 2 * placed >= tokens):
                 break
-            used = tuple(int(v) for v in rows[j] if v)
-            n = min(int(x[j]), *(left[v] // used.count(v) for v in used))
+            n = min(max(1, int(x[j])), *(int(left[v]) // k for v, k in columns[j]))
             if n:
-                out.append((used, int(n)))
-                for v in used:
-                    left[v] -= n
-    while (rest := np.flatnonzero(left)).size:  # each turn uses up a length
-        used, room = [int(rest[-1])], window - int(rest[-1])
-        spare = left.copy()
-        spare[rest[-1]] -= 1
-        while room:
-            fits = np.flatnonzero(spare[: room + 1])
-            if not fits.size:
-                break
-            used.append(int(fits[-1]))
-            spare[fits[-1]] -= 1
-            room -= int(fits[-1])
-        n = int(min(left[v] // used.count(v) for v in set(used)))
-        out.append((tuple(used), n))
-        for v in used:
-            left[v] -= n
-    return out
+                out.append((columns[j], n))
+                for v, k in columns[j]:
+                    left[v] -= n * k
+                    placed += n * v * k
+        if 10 * placed < tokens:
+            break
+    return out + largest_fit(left, window)
 
 
 def cut(
@@ -218,21 +253,23 @@ def pack(
         counts[length] = n
     slots, sequence = [], 0
     taken = np.zeros(window + 1, dtype=np.int64)
-    for used, n in plan(counts, window):
+    for used, n in fitted(counts, window):
         at = 0
-        for v in used:
-            slots.append((v, int(taken[v]), int(taken[v]) + n, sequence, at))
-            taken[v] += n
-            at += v
+        for v, k in used:
+            slots.append((v, int(taken[v]), int(taken[v]) + n * k, k, sequence, at))
+            taken[v] += n * k
+            at += v * k
         sequence += n
     table = df.sparkSession.createDataFrame(
-        slots, "length long, __from long, __to long, __sequence long, offset long"
+        slots, "length long, __from long, __to long, __times long, __sequence long, __at long"
     )
-    ranked = spread_rank(cut_, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "__rank")
+    ranked = spread_rank(cut_, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "__rank", rank_bits(int(counts.sum())))
     here = (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
-    # The plan has a few slots per length, so its size follows from the window alone.
-    placed = ranked.join(F.broadcast(table), "length").where(here)
+    # Spark knows the size of the plan, which follows from the window, and broadcasts it if it is small.
+    placed = ranked.join(table, "length").where(here)
+    nth = F.col("__rank") - F.col("__from")
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("__sequence") + F.col("__rank") - F.col("__from")).alias("sequence_id"), "offset",
+        (F.col("__sequence") + F.expr("(__rank - __from) div __times")).alias("sequence_id"),
+        (F.col("__at") + nth % F.col("__times") * F.col("length")).alias("offset"),
     )
