@@ -14,38 +14,42 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import WORD, save, spread_rank
+from rankframe.llm.common import WORD, columns, rank_bits, save, spread_rank
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MOST_PASSES = 3
-#: Words of budget that the knapsack solves exactly.
-KNAPSACK = 1 << 15
+#: Words of budget that the knapsack solves: so many, or so many times the longest document if that is more.
+EXACT, LONGEST = 1 << 19, 4
 SEED = 7
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take, at most counts, for the largest sum <= budget.
 
-    Bounded coin problem over sums up to budget. ``via`` keeps for each sum the length
-    that first reached it; sums of one remainder class are swept in one vectorised pass.
+    Bounded subset sums as bits of one integer: the sums within reach of n documents of a length are the
+    old ones, shifted by all multiples up to n, by doubling. ``via`` keeps for each sum the length that
+    first reached it. Memory: about six bytes per unit of budget.
     """
-    via = np.full(budget + 1, -1, dtype=np.int64)
+    via = np.full(budget + 1, -1, dtype=np.int32)
     via[0] = len(lengths)
+    reach, within = 1, (1 << (budget + 1)) - 1
     for i, (v, n) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         if via[budget] >= 0:
             break
         if not 0 < v <= budget or n <= 0:
             continue
-        before = via >= 0
-        size = -(-(budget + 1) // v) * v
-        grid = np.zeros(size, dtype=bool)
-        grid[: budget + 1] = before
-        grid = grid.reshape(-1, v)
-        row = np.arange(len(grid))[:, None]
-        last = np.maximum.accumulate(np.where(grid, row, -1), axis=0)
-        reached = ((last >= 0) & (row - last <= n)).ravel()[: budget + 1]
-        via[reached & ~before] = i
+        n, step, more = min(n, budget // v), 1, reach
+        while n:
+            k = min(step, n)
+            more |= (more << (k * v)) & within
+            n, step = n - k, 2 * step
+        new = np.frombuffer((more & ~reach).to_bytes(budget // 8 + 1, "little"), dtype=np.uint8)
+        at = np.flatnonzero(new)
+        bits = np.unpackbits(new[at, None], axis=1, bitorder="little")
+        row, bit = np.nonzero(bits)
+        via[at[row] * 8 + bit] = i
+        reach = more
     take = np.zeros(len(lengths), dtype=np.int64)
     at = int(np.flatnonzero(via >= 0)[-1])
     while at:
@@ -55,32 +59,30 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their sizes come closest below budget."""
+    """How many documents of each length to take so that their sizes come closest below budget.
+
+    A budget of up to EXACT, or some of the longest documents, is all left to the knapsack. Of a larger one
+    that much is; the rest is spread over all lengths in proportion, and what rounding down leaves of it is
+    taken from the longest on.
+    """
     total = int((lengths * counts).sum())
     if budget <= 0 or total <= 0:
         return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return counts.copy()
-    keep = max(0, budget - KNAPSACK // 2)  # leave so much to the knapsack
-    take = (counts.astype(object) * keep // total).astype(np.int64)
-    rest = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # the longest first, until the knapsack can do the rest
-        if rest <= KNAPSACK // 2:
-            break
-        if lengths[i] > 0:
-            n = min(int(counts[i] - take[i]), max(0, rest - KNAPSACK // 4) // int(lengths[i]))
-            take[i] += n
-            rest -= n * int(lengths[i])
+    spare = max(EXACT, LONGEST * int(lengths[counts > 0].max()))
+    take, rest = np.zeros(len(lengths), dtype=np.int64), budget
     order = np.argsort(-lengths, kind="stable")
-    for _ in range(2):  # a few long documents may block the budget that short ones could fill
-        if rest <= KNAPSACK:
-            break
-        for i in order:
-            if lengths[i] > 0:
-                n = min(int(counts[i] - take[i]), rest // int(lengths[i]))
+    if budget > spare:
+        take = (counts.astype(object) * (budget - spare) // total).astype(np.int64)
+        rest -= int((take * lengths).sum())
+        for i in order:  # afterwards rest < spare + the longest, as any length left does not fit above spare
+            if lengths[i] > 0 and rest > spare:
+                n = min(int(counts[i] - take[i]), (rest - spare) // int(lengths[i]))
                 take[i] += n
                 rest -= n * int(lengths[i])
-    return take + knapsack(lengths, counts - take, min(rest, KNAPSACK))
+    take[order] += knapsack(lengths[order], (counts - take)[order], rest)
+    return take
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
@@ -142,8 +144,8 @@ def mix(
     gives no rows.
     """
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), F.lit(0).cast("long").alias("mark"))
-    taken = (F.col("size") * F.col("times")).alias("taken")
-    return _decide(docs, weights, most, seed).select("doc_id", "size", "source_size", "target", taken, "source")
+    times = F.col("passes") + (F.col("rank") < F.col("take")).cast("long")
+    return _ranked(docs, weights, most, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source")
 
 
 def word_count(text: str):
@@ -157,23 +159,40 @@ def mix_documents(
 ) -> DataFrame:
     """The rows of df as often as the mix takes them, with all their columns.
 
-    Rows that agree in id, source and text share what the mix takes of them: it comes out as
-    copies of one of them.
+    Null and empty texts have no words and are never taken; null sources are a source, null ids an id; an empty
+    table gives no rows. Repeated rows are documents of their own; where the mix takes only some of the rows that
+    agree in id, source and text, all that it takes of them comes out as copies of one.
+
+    Ids and sizes alone are shuffled and ranked. What they decide is a row per source and length, the last key
+    that is taken, by which each text is kept or not where it is read: Spark broadcasts these rows if they are small.
     """
     mark = F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0))
-    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), mark.alias("mark"))
-    per = _decide(docs, weights, most, seed).groupBy("doc_id", "source", "mark").agg(F.sum("times").alias("__times"))
-    per = save(per.where("__times > 0").withColumnsRenamed({"doc_id": "__id", "source": "__source", "mark": "__mark"}), "times")
-    once = Window.partitionBy(f"`{doc_id}`", f"`{source}`", "__m").orderBy(*[F.col(f"`{c}`") for c in df.columns if c != text])
-    rows = df.withColumn("__m", mark).withColumn("__r", F.row_number().over(once)).where("__r = 1")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__m") == F.col("__mark"))
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    return rows.join(per, same).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*cols)
-
-
-def _decide(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
-    """docs (doc_id, source, size, mark) with source_size, target, and times, how often each row is taken."""
-    docs = save(docs, "sizes")
+    own = {"id": F.col(f"`{doc_id}`"), "source": F.col(f"`{source}`"), "size": word_count(text), "mark": mark}
+    narrow = df.select(own["id"].alias("doc_id"), *[own[n].alias(n) for n in ("source", "size", "mark")])
+    rules = save(_rules(_ranked(narrow, weights, most, seed)), "rules")
+    rows = df.select(F.struct(*columns(df)).alias("row"), *[c.alias(n) for n, c in own.items()], _order(own["id"], mark, seed).alias("hash"))
+    same = rows["source"].eqNullSafe(rules["source"]) & (rows["size"] == rules["size"])
+    mine = F.struct(F.col("hash"), F.col("id"), F.col("mark"))
+    ruled = rows.join(rules, same, "left").select("row", "id", "mark", mine.alias("key"), rows["source"].alias("source"), "passes", "last", "ties", "tied")
+    # Rows that agree with the last one taken in id, source and text are shared out among them: they become one first.
+    at_last = F.coalesce((F.col("key") == F.col("last")) & (F.col("ties") > 1), F.lit(False))
+    times = F.col("passes") + F.coalesce(F.col("key") <= F.col("last"), F.lit(False)).cast("long")
+    plain = ruled.where(~at_last).select("row", times.alias("times"))
+    shared = ruled.where(at_last).groupBy("id", "source", "mark").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"), F.first(F.col("passes") * F.col("ties") + F.col("tied")).alias("times")
+    )
+    both = plain.unionByName(shared.select("row", "times")).where("times > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def _order(doc_id, mark, seed: int):
+    """The seeded hash by which documents of one length are taken."""
+    return F.xxhash64(F.lit(seed), doc_id, mark)
+
+
+def _ranked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """docs (doc_id, source, size, mark) with source_size, target, passes, take and rank, the place within its source and size."""
+    docs = save(docs.withColumn("hash", _order(F.col("doc_id"), F.col("mark"), seed)), "sizes")
     per = save(targets(docs, weights, most), "targets")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,16 +201,31 @@ def _decide(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) ->
         total, target = int((lengths * counts).sum()), float(pdf["target"].iloc[0])
         passes = min(most, int(target // total)) if total else 0
         take = choose(lengths, counts, int(round(target - passes * total)) if passes < most else 0)
-        return pd.DataFrame({"source": pdf["source"], "size": lengths, "__passes": passes, "__take": take})
+        return pd.DataFrame({"source": pdf["source"], "size": lengths, "passes": passes, "take": take})
 
     hist = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     hist = hist.join(per, hist["source"].eqNullSafe(per["source"])).select(hist["source"], "size", "n", "target")
     # A group holds one row per length that occurs, whatever the number of documents.
-    got = hist.groupBy("source").applyInPandas(fit, "source string, size long, __passes long, __take long")
-    got = save(got, "taken")
-    ranked = spread_rank(docs.withColumn("__seed", F.lit(seed)), ["source", "size"], ["__seed", "doc_id", "mark"], "__rank")
+    got = save(hist.groupBy("source").applyInPandas(fit, "source string, size long, passes long, take long"), "taken")
+    ranked = spread_rank(docs, ["source", "size"], ["hash", "doc_id", "mark"], "rank", rank_bits(docs.count()))
     a, b, c = ranked.alias("a"), got.alias("b"), per.alias("c")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
     joined = joined.join(c, F.col("a.source").eqNullSafe(F.col("c.source")))
-    times = F.col("__passes") + (F.col("__rank") < F.col("__take")).cast("long")
-    return joined.select("a.doc_id", "a.source", "a.size", "a.mark", "c.source_size", "c.target", times.alias("times"))
+    return joined.select("a.doc_id", "a.source", "a.size", "a.mark", "a.hash", "a.rank", "b.passes", "b.take", "c.source_size", "c.target")
+
+
+def _rules(ranked: DataFrame) -> DataFrame:
+    """By source and size: the whole passes, the last key that is taken once more, its rows, and how many of these are taken.
+
+    A row per length that occurs in a source, and null keys where none or all are taken: a text needs no more to decide.
+    """
+    key = F.struct("hash", "doc_id", "mark")
+    ranked = save(ranked.withColumn("key", key).withColumn("once", F.col("rank") < F.col("take")), "ranked")
+    last = ranked.groupBy("source", "size").agg(F.first("passes").alias("passes"), F.max(F.when(F.col("once"), F.col("key"))).alias("last"))
+    last = save(last, "last")
+    a, b = ranked.alias("a"), last.alias("b")
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.key") == F.col("b.last"))
+    ties = a.join(b, same).groupBy("a.source", "a.size").agg(F.count(F.lit(1)).alias("ties"), F.count_if("a.once").alias("tied"))
+    c, d = last.alias("c"), ties.alias("d")
+    joined = c.join(d, F.col("c.source").eqNullSafe(F.col("d.source")) & (F.col("c.size") == F.col("d.size")), "left")
+    return joined.select("c.source", "c.size", "c.passes", F.col("c.last"), "d.ties", "d.tied")
