@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from rankframe.llm.common import map_texts, save
+from rankframe.llm.common import columns, map_texts, save
 
 #: Labelled documents the model is fitted on, at most; those with the least hash of their id.
 TRAINING_ROWS = 20_000
@@ -96,17 +96,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAINING_ROWS) -> Model:
-    """Fit on labelled documents. Of repeated labels the least counts, of repeated documents each.
+    """Fit on labelled documents. Of repeated labels the least counts, and so it is of documents that repeat an id: one
+    of them, with the least features.
 
-    The sample is bounded by ``rows``; labels that are null or of no document do not count.
+    The sample is bounded by ``rows``, the labelled ids with the least hashes; labels that are null or of no document
+    do not count. So what is broadcast and what reaches the driver has ``rows`` rows at most.
     """
-    clean = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("__y"))
-    sample = clean.orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
-    picked = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)  # rows bounds the broadcast
-    made = map_texts(picked, ["__y"], text, lambda ts: {"x": [features(t) for t in ts]}, "x array<double>")
-    got = made.limit(2 * rows).toArrow()
+    i, y = F.col(f"`{doc_id}`"), F.col(f"`{label}`")
+    clean = labels.where(i.isNotNull() & y.isNotNull()).groupBy(i.alias("id")).agg(F.min(y).alias("y"))
+    known = docs.where(i.isNotNull()).select(i.alias("id"))
+    sample = clean.join(known, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(rows)
+    src = docs.select(i.alias("id"), F.col(f"`{text}`").alias("text"))
+    picked = src.join(F.broadcast(save(sample, "sample")), "id")  # rows bounds the broadcast
+    made = map_texts(picked, ["id", "y"], "text", lambda ts: {"x": [features(t) for t in ts]}, "x array<double>")
+    got = made.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).orderBy("id").toArrow()
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit_logistic(x, np.array(got["__y"].to_pylist(), dtype=float))
+    return fit_logistic(x, np.array(got["y"].to_pylist(), dtype=float))
 
 
 def _logit(p: Column) -> Column:
@@ -150,52 +155,49 @@ def site_posteriors(scored: DataFrame) -> Sites:
     return Sites(save(table, "sites"), mean, _strength(hosts, mean), _strength(per, mean))
 
 
-def score(docs: DataFrame, model: Model, host: str, path: tuple[str, ...], text: str, carry: list[str], keep_text: bool = False) -> DataFrame:
-    """carry (and text), host, path, own log-odds and p of each document."""
-    src = docs.withColumn("__h", F.col(host).cast("string")).withColumn("__p", F.to_json(F.struct(*[F.col(c) for c in path])))
-    src = src.withColumn("__copy", F.col(text))
-    cols = [*carry, *([text] if keep_text else []), "__h", "__p"]
-    made = map_texts(src, cols, "__copy", lambda ts: {"__logit": model.logits(ts)}, "__logit double")
-    made = made.withColumnsRenamed({"__h": "host", "__p": "path", "__logit": "logit"} if not keep_text else {"__h": "__host_key", "__p": "__path_key"})
-    return made.withColumn("p" if not keep_text else "__p_own", 1 / (1 + F.exp(-F.col("logit" if not keep_text else "__logit"))))
+def score(docs: DataFrame, model: Model, host: str, path: tuple[str, ...], text: str, **carry: Column) -> DataFrame:
+    """carry, host, path, own log-odds and p of each document."""
+    sites = {"host": F.col(f"`{host}`").cast("string"), "path": F.to_json(F.struct(*[F.col(f"`{c}`") for c in path]))}
+    src = docs.select(*[c.alias(n) for n, c in (carry | sites).items()], F.col(f"`{text}`").alias("own_text"))
+    made = map_texts(src, [*carry, *sites], "own_text", lambda ts: {"logit": model.logits(ts)}, "logit double")
+    return made.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
 
 
-def posterior(scored: DataFrame, sites: Sites, host: str, path: str, logit: str, p: str) -> DataFrame:
-    """scored with __posterior: own evidence, and the path's prior without the document's own part.
+def posterior(scored: DataFrame, sites: Sites) -> DataFrame:
+    """scored with site and posterior: own evidence, and the path's prior without the document's own part.
 
     The site table was written first, so Spark knows its size and broadcasts it only if small;
     else the join shuffles, and adaptive execution splits a hot site.
     """
     m, hp, pp = F.lit(sites.mean), F.lit(sites.host_prior), F.lit(sites.path_prior)
     t = sites.table
-    same = scored[host].eqNullSafe(t["__host"]) & scored[path].eqNullSafe(t["__path"])
-    mu_host = (hp * m + F.col("__hs") - F.col(p)) / (hp + F.col("__hn") - 1)
-    mu_path = (pp * mu_host + F.col("__s") - F.col(p)) / (pp + F.col("__n") - 1)
-    lo = F.col(logit) + F.lit(SITE_WEIGHT) * (_logit(mu_path) - _logit(m))
-    joined = scored.join(t, same)
-    return joined.withColumn("__site", mu_path).withColumn("__posterior", 1 / (1 + F.exp(-lo)))
+    mu_host = (hp * m + F.col("__hs") - F.col("p")) / (hp + F.col("__hn") - 1)
+    mu_path = (pp * mu_host + F.col("__s") - F.col("p")) / (pp + F.col("__n") - 1)
+    lo = F.col("logit") + F.lit(SITE_WEIGHT) * (_logit(mu_path) - _logit(m))
+    joined = scored.join(t, scored["host"].eqNullSafe(t["__host"]) & scored["path"].eqNullSafe(t["__path"]))
+    return joined.withColumn("site", mu_path).withColumn("posterior", 1 / (1 + F.exp(-lo)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: tuple[str, ...] = ("source", "lang"), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, own, site, posterior, kept for each row of docs.
 
     own is the model's probability, site the prior of the document's path, kept whether
-    posterior >= LEAST. Null and empty texts are scored as texts of no words; repeated rows
-    count and come out repeatedly; an empty table gives no rows; other columns are ignored.
+    posterior >= LEAST. Null and empty texts are scored as texts of no words; a null host or path is a site;
+    repeated rows count and come out repeatedly; an empty table gives no rows, and without labels all is
+    kept; other columns are ignored, whatever their names.
     """
     model = train(docs, labels, doc_id, text)
-    scored = save(score(docs, model, host, path, text, [doc_id]), "scored")
-    done = posterior(scored, site_posteriors(scored), "host", "path", "logit", "p")
-    return done.select(
-        F.col(doc_id), F.col("p").alias("own"), F.col("__site").alias("site"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= LEAST).alias("kept")
-    )
+    scored = save(score(docs, model, host, path, text, id=F.col(f"`{doc_id}`")), "scored")
+    done = posterior(scored, site_posteriors(scored))
+    return done.select(F.col("id").alias(doc_id), F.col("p").alias("own"), "site", "posterior", (F.col("posterior") >= LEAST).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: tuple[str, ...] = ("source", "lang"), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns; texts are not shuffled."""
+    """The rows of docs that classify() keeps, with all their columns; texts are not shuffled unless the sites are many.
+
+    Nulls, empty texts, repeats and empty tables count as classify() says; a kept row comes out as often as it occurs.
+    """
     model = train(docs, labels, doc_id, text)
-    sites = site_posteriors(score(docs, model, host, path, text, []))
-    carry = [c for c in docs.columns if c != text]
-    scored = score(docs, model, host, path, text, carry, keep_text=True)
-    done = posterior(scored, sites, "__host_key", "__path_key", "__logit", "__p_own")
-    return done.where(F.col("__posterior") >= LEAST).select(*docs.columns)
+    sites = site_posteriors(score(docs, model, host, path, text))
+    done = posterior(score(docs, model, host, path, text, row=F.struct(*columns(docs))), sites)
+    return done.where(F.col("posterior") >= LEAST).select("row.*")
