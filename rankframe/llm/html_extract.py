@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -49,8 +50,8 @@ IMPLIED = {
 }
 #: An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
-#: Elements nested deeper join the element at this depth.
-DEPTH = 150
+#: Widest cell that the others of its column are padded to, longest indentation, and most columns that a cell spans (the last fixed by the standard).
+PAD, INDENT, SPAN = 160, 80, 1000
 
 TAG = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 REST = re.compile(r"""[^\s/>]*(?:[^"'>]|"[^"]*"|'[^']*')*?(?=>)""")
@@ -143,16 +144,27 @@ def parse(source: str) -> tuple[Node, dict[str, Style]]:
     """The tree, and declarations of style sheets by simple selector (tag, .class, #id)."""
     root = Node("html", {}, 0)
     stack, styles = [root], {}
+    #: Places of the open elements by tag, so that no tag has to search the stack, however deep it is.
+    places: dict[str, list[int]] = {"html": [0]}
     at, n, order = 0, len(source), 0
     drawn = re.search(r"<(?:svg|math)\b", source, re.IGNORECASE) is not None
 
+    def last(tags) -> int:
+        """The place of the innermost open element of these tags."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
     def close(tags, stop) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        i = last(tags)
+        if i > 0 and i >= last(stop):
+            cut(i)
 
     while at < n:
         m = TAG.search(source, at)
@@ -181,7 +193,7 @@ def parse(source: str) -> tuple[Node, dict[str, Style]]:
         at = end + 1
         tag = re.split(r"[\s/]", inside, maxsplit=1)[0].lower()
         if closing:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and last(("p",)) < 0:
                 stack[-1].children.append(Node("p", {}, 0))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}, 0))
@@ -200,7 +212,7 @@ def parse(source: str) -> tuple[Node, dict[str, Style]]:
                 close({"head"}, {"body"})
             continue
         if len(stack) == 2 and stack[1].tag == "head" and tag not in HIDDEN:
-            del stack[1:]  # the head ends where the body's first element starts
+            cut(1)  # the head ends where the body's first element starts
         if tag in IMPLIED:
             tags, stop = IMPLIED[tag]
             for _ in range(4):  # a row ends its cell, then itself
@@ -208,13 +220,13 @@ def parse(source: str) -> tuple[Node, dict[str, Style]]:
                 close(tags, stop)
                 if len(stack) == size:
                     break
-        if tag in ("td", "th") and stack[-1].tag != "tr" and any(x.tag == "table" for x in stack):
+        if tag in ("td", "th") and stack[-1].tag != "tr" and last(("table",)) >= 0:
             row = Node("tr", {}, len(stack))
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attrs, len(stack))
         stack[-1].children.append(node)
-        around = next((x.tag for x in reversed(stack) if x.tag in UNSEEN), None) if drawn else None
+        around = stack[last(UNSEEN)].tag if drawn and last(UNSEEN) >= 0 else None
         if around:
             node.unseen = tag in UNSEEN[around]
             node.own_line = around == "svg" and tag == "text"
@@ -235,8 +247,8 @@ def parse(source: str) -> tuple[Node, dict[str, Style]]:
                             known = styles.setdefault(sel, {})
                             for name, what in own.items():
                                 known[name] = max(known.get(name, what), what)
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+        elif tag not in VOID:
+            push(node)
     return root, styles
 
 
@@ -267,7 +279,7 @@ class Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = 0
-        indent = "".join(self.prefix)
+        indent = "".join(self.prefix[-INDENT:])[-INDENT:]
         if self.mark:
             indent, self.mark = indent[: max(0, len(indent) - len(self.mark))] + self.mark, ""
         self.lines.append((indent + line).rstrip())
@@ -309,7 +321,18 @@ def _hidden(node: Node, styles: dict[str, Style], visible: bool) -> tuple[bool,
     return gone, visible
 
 
-def _walk(node: Node, page: Page, styles: dict[str, Style], visible: bool, pre: bool, lists: int) -> None:
+def _run(walk: Iterator) -> None:
+    """Run a walk that yields the walks below it, without recursion: pages may be nested to any depth."""
+    open_ = [walk]
+    while open_:
+        below = next(open_[-1], None)
+        if below is None:
+            open_.pop()
+        else:
+            open_.append(below)
+
+
+def _walk(node: Node, page: Page, styles: dict[str, Style], visible: bool, pre: bool, lists: int) -> Iterator:
     gone, visible = _hidden(node, styles, visible)
     if gone:
         return
@@ -323,7 +346,7 @@ def _walk(node: Node, page: Page, styles: dict[str, Style], visible: bool, pre:
         return
     if tag == "table":
         page.block(True)
-        _table(node, page, styles, visible)
+        yield _table(node, page, styles, visible)
         page.block(True)
         return
     block = tag in BLOCK or node.own_line
@@ -367,14 +390,14 @@ def _walk(node: Node, page: Page, styles: dict[str, Style], visible: bool, pre:
             page.block(False)
             page.prefix.append(" " * len(mark))
             page.mark = mark
-            _walk(child, page, styles, visible, pre, lists)
+            yield _walk(child, page, styles, visible, pre, lists)
             page.block(False)
             page.mark = ""
             page.prefix.pop()
             number = None if number is None else number + 1
         else:
             shown = shown or child.tag == "summary"
-            _walk(child, page, styles, visible, pre, lists)
+            yield _walk(child, page, styles, visible, pre, lists)
     if pre and tag in ("pre", "textarea", "xmp") and page.words:
         page.put("".join(page.words))
         page.words.clear()
@@ -402,37 +425,43 @@ def _rows(node: Node, styles: dict[str, Style], visible: bool):
 def _span(cell: Node | str, name: str, most: int) -> int:
     """How many columns or rows a cell spans; 0 rows are all that follow."""
     text = "1" if isinstance(cell, str) else cell.attrs.get(name, "1").strip()
-    if not re.fullmatch(r"[0-9]{1,9}", text):
+    if not re.fullmatch(r"[0-9]+", text):
         return 1
-    return min(int(text), most) or (most if name == "rowspan" else 1)
+    return min(int(text[-12:]) if len(text.lstrip("0")) <= 12 else most, most) or (most if name == "rowspan" else 1)
+
 
+def _table(node: Node, page: Page, styles: dict[str, Style], visible: bool) -> Iterator:
+    """Rows of aligned cells. A cell wider than PAD does not widen its column, so what is added to a page's text is bounded by its cells.
 
-def _table(node: Node, page: Page, styles: dict[str, Style], visible: bool) -> None:
-    grid: list[list[list[str]] | None] = []
+    Columns that hold nothing in any row count as one beside each other.
+    """
+    grid: list[dict[int, list[str]] | None] = []
     other: list[list[str]] = []
 
-    def render(child, seen) -> list[str]:
+    def render(child, seen, into: list[str]) -> Iterator:
         sub = Page()
         if isinstance(child, str):
             sub.text(entities.unescape(child))
         else:
-            _walk(child, sub, styles, seen, False, 0)
+            yield _walk(child, sub, styles, seen, False, 0)
         sub.flush()
-        return sub.lines
+        into += sub.lines
 
-    # By column, in how many more rows of the part of the table a cell from above goes on.
-    above: dict[int, int] = {}
+    # By first column, the last one and in how many more rows of the part of the table a cell from above goes on.
+    above: dict[int, tuple[int, int]] = {}
     part = node
     for row, seen, own in _rows(node, styles, visible):
         if own is not part:
             above, part = {}, own
         if isinstance(row, str) or row.tag != "tr":
             grid.append(None)
-            other.append(render(row, seen))
+            other.append([])
+            yield render(row, seen, other[-1])
             continue
         gone, seen = _hidden(row, styles, seen)
-        cells: list[list[str]] = []
-        below: dict[int, int] = {}
+        cells: dict[int, list[str]] = {}
+        below: dict[int, tuple[int, int]] = {}
+        held, at = sorted((c, end) for c, (end, _) in above.items()), 0
         for cell in row.children:
             if isinstance(cell, str) and not cell.strip():
                 continue
@@ -440,31 +469,42 @@ def _table(node: Node, page: Page, styles: dict[str, Style], visible: bool) -> N
                 continue
             if isinstance(cell, str) and not seen:
                 continue
-            while len(cells) in above:
-                cells.append([])
-            at, span = len(cells), _span(cell, "colspan", 100)
-            cells += [render(cell, seen)] + [[]] * (span - 1)
+            while held and held[0][0] <= at:
+                at = max(at, held.pop(0)[1])
+            span = _span(cell, "colspan", SPAN)
+            cells[at] = []
+            yield render(cell, seen, cells[at])
             if (rows := _span(cell, "rowspan", 65534)) > 1:
-                below |= dict.fromkeys(range(at, at + span), rows - 1)
-        above = {c: k - 1 for c, k in above.items() if k > 1} | below
+                below[at] = (at + span, rows - 1)
+            at += span
+        above = {c: (end, k - 1) for c, (end, k) in above.items() if k > 1} | below
         grid.append(cells)
-    width: list[int] = []
+    width: dict[int, int] = {}
     for cells in grid:
-        for i, cell in enumerate(cells or ()):
-            if i == len(width):
-                width.append(0)
-            width[i] = max([width[i], *map(len, cell)])
+        for i, cell in (cells or {}).items():
+            width[i] = max([width.get(i, 0), *(len(x) for x in cell if len(x) <= PAD)])
+    full = {i for cells in grid for i, cell in (cells or {}).items() if cell}
+    order: list[int | None] = []  # columns from left to right; None for one or more that hold nothing
+    for i in sorted(full):
+        if i - (before := order[-1] if order and order[-1] is not None else -1) > 1:
+            order.append(None)
+        order.append(i)
     strays = iter(other)
     for cells in grid:
         if cells is None:
             for line in next(strays):
                 page.put(line)
             continue
-        for k in range(max((len(c) for c in cells), default=0)):
-            last = max((i for i, c in enumerate(cells) if k < len(c) and c[k]), default=-1)
-            line = "  ".join((c[k] if k < len(c) else "").ljust(width[i] if i < last else 0) for i, c in enumerate(cells[: last + 1]))
-            if line.strip():
-                page.put(line)
+        for k in range(max(map(len, cells.values()), default=0)):
+            line, todo = [], {i for i, c in cells.items() if k < len(c) and c[k]}
+            for i in order:
+                if not todo:
+                    break
+                todo.discard(i)
+                text = "" if i is None or k >= len(cells.get(i, ())) else cells[i][k]
+                line.append(text.ljust(width[i]) if todo and i is not None else text)
+            if line:
+                page.put("  ".join(line))
 
 
 def render(source: str | None) -> str:
@@ -473,7 +513,7 @@ def render(source: str | None) -> str:
         return ""
     root, styles = parse(source.replace("\r\n", "\n").replace("\0", ""))
     page = Page()
-    _walk(root, page, styles, True, False, 0)
+    _run(_walk(root, page, styles, True, False, 0))
     page.flush()
     return "\n".join(page.lines).strip("\n")
 
@@ -485,8 +525,8 @@ def extract_html(df: DataFrame, html: str = "html", carry: tuple[str, ...] = ("p
     """A row for each row of df: the columns carry, text, n_chars, n_lines.
 
     A null or empty page has an empty text of no lines. Broken markup never fails: what no rule
-    covers is text. Elements nested deeper than DEPTH join the element there, and keep their text.
-    Repeated rows come out repeated; other columns are ignored. Nothing is shuffled.
+    covers is text. Elements may be nested to any depth. Repeated rows come out repeated; an empty table gives no
+    rows; other columns are ignored, whatever their names. Nothing is shuffled.
     """
 
     def run(pages: list) -> dict[str, list]:
