@@ -33,6 +33,8 @@ WORDS = 4096
 #: Rows of a tile of the exact comparison.
 TILE = 512
 SEED = 11
+#: Matrix products of unit vectors are this near to their cosines.
+CLOSE = 1e-12
 
 
 Code = tuple[np.ndarray, list[np.ndarray]]
@@ -114,8 +116,29 @@ def filters(x: np.ndarray, drawn: list[Code]) -> np.ndarray:
     return np.sort(np.concatenate([decode(x, c) + k * size for k, c in enumerate(drawn)], axis=1), axis=1)
 
 
-def _matrix(values) -> np.ndarray:
-    return np.array(values, dtype=np.float64)
+def unit_rows(values) -> np.ndarray:
+    """Rows of length one; each is divided by its largest component first, so that no square overflows or vanishes."""
+    x = np.array(values, dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """The cosine of two vectors from exactly rounded sums, so that it does not depend on the order of the components or vectors."""
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
+
+
+def linked(raw: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows a link with which rows b: by a matrix product, and by cosine() where that is too close to the threshold to tell.
+
+    A product of matrices rounds a pair differently from tile to tile; this way all tiles agree.
+    """
+    product = x[a] @ x[b].T
+    hit = product >= threshold
+    for i, j in zip(*np.nonzero(np.abs(product - threshold) < CLOSE), strict=True):
+        hit[i, j] = cosine(raw[a[i]], raw[b[j]]) >= threshold
+    return hit
 
 
 def near_duplicates(
@@ -137,7 +160,10 @@ def near_duplicates(
     src = src.withColumn("v", F.when(fine, F.transform("v", lambda e: e + F.lit(0.0))))  # -0.0 equals 0.0
     src = save(src.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256))), "vectors")
     distinct = src.where("v is not null").groupBy("key").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"))
-    reps = save(distinct.withColumn("id", F.xxhash64("key")).withColumn("d", F.size("v")), "distinct")
+    for seed in range(8):
+        reps = save(distinct.withColumn("id", F.xxhash64("key", F.lit(seed))).withColumn("d", F.size("v")), "distinct")
+        if reps.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break  # else two vectors share a name: take other names
     sizes = {r["d"]: r["n"] for r in reps.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per dimension
     found = [_linked(reps.where(F.col("d") == d), d, n, threshold, listed) for d, n in sizes.items() if n > 1]
     if found:
@@ -160,15 +186,14 @@ def near_duplicates(
 
 def _linked(reps: DataFrame, dim: int, n: int, threshold: float, listed: int) -> DataFrame:
     """(a, b, n): for each a the weight of its partners in a tile, and links (a, b) that connect them (n = 0)."""
-    bounded_batches(reps.sparkSession, 2000)
+    bounded_batches(reps.sparkSession)
     drawn = codes(n, dim, threshold, listed)
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column(1).to_pylist())
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit_rows(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(filters(x, drawn)), pa.list_(pa.int64()))], ["id", "filters"])
 
     lists = save(reps.select("id", "v").mapInArrow(listing, "id long, filters array<long>"), "filters")
@@ -185,10 +210,9 @@ def _linked(reps: DataFrame, dim: int, n: int, threshold: float, listed: int) ->
         f, i, j = (k.as_py() for k in key)
         ids, w = batch["id"].to_numpy(), batch["w"].to_numpy()
         part = batch["part"].to_numpy()
-        x = np.stack([np.asarray(v.values) for v in batch["v"]]).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        raw = np.stack([np.asarray(v.values) for v in batch["v"]]).astype(np.float64)
         a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        hit = x[a] @ x[b].T >= threshold
+        hit = linked(raw, unit_rows(raw), a, b, threshold)
         if i == j:
             np.fill_diagonal(hit, False)
         ra, rb = a[hit.any(axis=1)], b[hit.any(axis=0)]
