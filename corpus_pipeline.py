@@ -25,7 +25,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become marks; no document goes."""
-    clean = secret_scan.redact_secrets(docs)
+    clean = secret_scan.redact_secrets(docs, vocabulary=secret_scan.vocabulary_path())
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
