@@ -41,6 +41,16 @@ LIST_CHANGES = (
     ("takedown", "ththan.example.net", "add", "2024-04-01"),
     ("takedown", "blog.ththan.example.net/en", "add", "2024-01-01"),
     ("takedown", "blog.ththan.example.net/en", "remove", "2024-02-01"),
+    ("mirror", "tionsh.example.net", "add", "2023-06-01"),
+    ("mirror", "tionsh.example.net", "remove", "2024-04-20"),
+    ("mirror", "tionsh.example.net/de", "add", "2024-03-01"),
+    ("mirror", "tionsh.example.net/de", "remove", "2024-09-01"),
+    ("mirror", "blog.tionsh.example.net/en", "add", "2024-08-15"),
+    ("takedown", "thther.example.org", "add", "2024-02-15"),
+    ("takedown", "thther.example.org", "remove", "2024-11-30"),
+    ("takedown", "m.ththth.example.net/en/120", "add", "2023-12-01"),
+    ("takedown", "tionsh.example.net/de/100066/archive/2023/12/31/morning/edition/page/2", "add", "2023-12-01"),
+    ("spam", "tiontion.example.com", "add", "2024-05-05"),
 )
 
 
@@ -73,7 +83,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_scan(_read(spark, sf_dir, "documents"))
+    return secret_scan.secret_scan(_read(spark, sf_dir, "documents"), vocabulary=secret_scan.vocabulary_path())
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
