@@ -1,12 +1,15 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Two documents whose sets have a and b n-grams link at similarity t only if they differ in at most
-H = (1 - t) / (1 + t) * (a + b) columns. So the columns are dealt into more than H blocks, by hash: a
-pair that links agrees in all entries of at least one block. Documents are sorted by the content
-of each block, and only those that share one meet (a family, around the least of them). Within
-a family the product's entries, the overlap counts, are accumulated block of columns by block of
-columns, and a pair is discarded as soon as its count plus what is left of its columns cannot
-reach the bound that its sizes give.
+The entries of the product of the matrix with its transpose are the overlaps of pairs. They are accumulated block of
+columns by block of columns, and a pair is discarded as soon as its count plus what is left of its columns
+cannot reach the bound that its sizes give.
+
+The first block of columns of a document is the rarest of its n-grams: a set of a n-grams links at similarity t only
+if it shares ceil(t a) of them, so two sets that link have an entry of the product in the first a - ceil(t a) + 1
+columns of both, in whatever order all columns are taken. Rare columns come first, by the counts of all n-grams of
+all documents in a table of fixed size, so that what many documents have in common (a line, a passage) brings few
+pairs together. A column's documents of about one size make a block of rows, a family, around the least of them;
+overlaps are accumulated for the pairs of a family, whichever column brought them together.
 
 Equal sets are compared once. A large family is dealt into parts: all pairs within a part, and of
 each member with the family's least, are compared first; then only members outside the family's
@@ -26,11 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, map_texts, save, trim, whole_rows
+from rankframe.llm.common import bounded_batches, save, trim, whole_rows
 from rankframe.llm.components import components, forest
 
 #: Sets of which a task remembers that it has posted them.
 REMEMBERED = 250_000
+#: Bits of the number of counts of n-grams, at most, and the parts in which a task sends its counts.
+MOST_COUNTS, CHUNKS = 19, 64
+#: Tables of counts that are added up in one task.
+TABLES = 256
+#: Rows from which on a column is dealt by salt, at least.
+HOT = 1 << 16
 #: Buckets of the summary that rules pairs out before their sets are fetched.
 SKETCH = 256
 #: Members of a family that are compared in one task.
@@ -42,7 +51,7 @@ COLUMNS = 1024
 #: Entries of a part's sets from which freed memory goes back to the system at once.
 LARGE = 1_000_000
 #: Bits of the filter that says which documents to read again, at most.
-MOST_BITS = 1 << 23
+MOST_BITS = 1 << 26
 U = np.uint64
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,42 +78,29 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 class Bands:
-    """Sizes in bands so that sets that link lie in one band or in neighbours; blocks of each pair of bands."""
+    """Sizes in bands, so that sets that link lie in one band or in neighbours."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.starts = num, den, [1]
-        while self.starts[-1] < 1 << 40:
-            self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * den // num)))
-        self.edges = np.array(self.starts)
-
-    def differ(self, g: int) -> int:
-        """In how many columns two linked sets of group g (bands g and g + 1, the smaller set in g) differ at most."""
-        small = self.starts[g + 1] - 1
-        return (self.den - self.num) * (small + small * self.den // self.num) // (self.den + self.num)
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Names of what a set holds in each block, for both groups that it belongs to.
-
-        An empty block has no name, as many sets share it, unless the set has so few other blocks
-        that all of them may differ in a link.
-        """
-        band = int(np.searchsorted(self.edges, len(s), side="right")) - 1
-        out = []
-        for g in (band - 1, band):
-            if g < 0:
-                continue
-            most = self.differ(g)
-            blocks = 11 * most // 10 + 2 if most else 1
-            salt = _mix(np.arange(blocks, dtype=U) + U(g * 1_000_003 + 7))
-            block = (s % U(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            block = block[order]
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            held = np.add.reduceat(_mix(s[order] + U(12345)), first)
-            out.append(_mix(held + salt[block[first]]))
-            if len(first) <= most:
-                out.append(_mix(np.delete(salt, block[first])))
-        return np.concatenate(out)
+        self.num, self.den, starts = num, den, [1]
+        while starts[-1] < 1 << 40:
+            starts.append(max(starts[-1] + 1, -(-starts[-1] * den // num)))
+        self.starts = np.array(starts)
+
+    def of(self, size: int) -> int:
+        return int(np.searchsorted(self.starts, size, side="right")) - 1
+
+
+def rarest(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first columns of a set in the order of (magnitude of their count, name), as many as a link needs, and their counts."""
+    seen = counts[bucket(s, len(counts))]
+    order = np.lexsort((_mix(s), np.frexp(seen.astype(np.float64))[1]))
+    first = order[: len(s) + 1 - -(-num * len(s) // den)]
+    return s[first], seen[first]
+
+
+def bucket(s: np.ndarray, n: int) -> np.ndarray:
+    """Where n-grams are counted in a table of n counts, n a power of two."""
+    return (s >> U(65 - n.bit_length())).astype(np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -151,19 +147,53 @@ def product(sets: list[np.ndarray], num: int, den: int, rows: np.ndarray | None
     return ordered[:, 0], ordered[:, 1]
 
 
-def _profiles(docs: DataFrame, doc_id: str, text: str, words: int, seed: int) -> DataFrame:
-    def run(texts: list) -> dict[str, list]:
-        got: dict[str, list] = {"n": [], "set": [], "more": [], "sketch": []}
-        for t in texts:
-            s = shingle_set(t, words)
-            d = xxhash.xxh3_128_intdigest(s.tobytes(), seed)
-            got["n"].append(len(s))
-            got["set"].append((d & (2**64 - 1)) - 2**63 if len(s) else None)
-            got["more"].append((d >> 64) - 2**63 if len(s) else None)
-            got["sketch"].append(sketch(s) if len(s) else None)
-        return got
+def _profiles(src: DataFrame, words: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n, set, more, sketch of each row, and in how many rows the n-grams of each bucket occur.
 
-    return save(map_texts(docs, [doc_id], text, run, "n long, set long, more long, sketch binary"), "profiles")
+    Tasks count in tables of their own, which they send in CHUNKS parts after their rows; those of up to TABLES
+    tasks are added up first, and then what that makes.
+    """
+    rows = src.count()
+    size = 1 << min(MOST_COUNTS, max(12, (8 * rows).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            n, names, more, sketches, buckets = [], [], [], [], [np.zeros(0, dtype=np.int64)]
+            for t in b.column(1):
+                s = shingle_set(t.as_py(), words)
+                buckets.append(bucket(s, size))
+                d = xxhash.xxh3_128_intdigest(s.tobytes(), seed)
+                n.append(len(s))
+                names.append((d & (2**64 - 1)) - 2**63 if len(s) else None)
+                more.append((d >> 64) - 2**63 if len(s) else None)
+                sketches.append(sketch(s) if len(s) else None)
+            counts += np.bincount(np.concatenate(buckets), minlength=size)
+            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(more, pa.int64()), pa.array(sketches, pa.binary()), *none], names_)
+        parts = [x.astype("<u8").tobytes() for x in np.split(counts, CHUNKS)] if counts.any() else []
+        none = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names_)
+        trim()
+
+    schema = "doc_id long, n long, set long, more long, sketch binary, chunk int, counts binary"
+    names_ = [x.split()[0] for x in schema.split(", ")]
+    made = save(src.select("doc_id", "text").mapInArrow(run, schema), "profiles")
+
+    tables = made.where("chunk is not null").select("chunk", "counts")
+    counts = np.zeros(size, dtype=np.uint64)
+    bins = -(-tables.count() // (CHUNKS * TABLES))
+    tables = tables.withColumn("bin", F.pmod(F.xxhash64("counts"), F.lit(max(1, bins))))
+    tables = tables.groupBy("chunk", "bin").applyInArrow(_added, "chunk int, counts binary")
+    for chunk, raw in tables.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect():  # CHUNKS rows
+        at = chunk * (size // CHUNKS)
+        counts[at : at + size // CHUNKS] = np.frombuffer(raw, dtype="<u8")
+    return made.where("chunk is null").drop("chunk", "counts"), counts
+
+
+def _added(key, batch):
+    total = sum(np.frombuffer(x.as_py(), dtype="<u8") for x in batch["counts"])
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def bitmap(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -198,7 +228,8 @@ def jaccard_components(
     component_id is the smallest doc_id that links reach. Null and empty texts, and texts without
     words, have no n-grams and link with nothing. A repeated row is linked with itself; a row with
     a null doc_id is counted, but not compared, and its component_id is null. Other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. N-grams go by 64-bit hashes: n_shingles is short by one where two
+    n-grams of one text collide (a chance of 1e-11 for 20,000 n-grams). Names of sets are tested for collisions.
     """
     spark = df.sparkSession
     src = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -219,7 +250,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     spark, bands = src.sparkSession, Bands(num, den)
     bounded_batches(spark)
     for seed in range(8):
-        known = _profiles(src, "doc_id", "text", words, seed)
+        known, counts = _profiles(src, words, seed)
         sets = known.where("`set` is not null and doc_id is not null").groupBy("set").agg(
             F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.min("more").alias("more"), F.max("more").alias("most")
         )
@@ -227,10 +258,12 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         if sets.where("more <> most").isEmpty():
             break  # else two sets share a name: take other names
 
+    hot = max(HOT, 8 * int(counts.mean()))
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies in one task are posted once; a third of all rows may be copies
         for b in batches:
-            keys, names = [], []
+            keys, salts, names, sizes = [], [], [], []
             for t in b.column(0):
                 s = shingle_set(t.as_py(), words)
                 if not len(s):
@@ -240,16 +273,28 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
                     continue
                 if len(done) < REMEMBERED:
                     done.add(name)
-                k = bands.keys(s).view(np.int64)
-                keys.append(k)
-                names.append(np.full(len(k), name, dtype=np.int64))
+                key, seen = rarest(s, counts, num, den)
+                keys.append(key.view(np.int64))
+                salts.append(np.where(seen > hot, 1 + name % (1 + seen // U(hot)).astype(np.int64), 0).astype(np.int32))
+                names.append(np.full(len(key), name, dtype=np.int64))
+                sizes.append(np.full(len(key), bands.of(len(s)), dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], ["key", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, salts, names, sizes)], ["key", "salt", "set", "band"])
         trim()
 
-    posted = src.where("doc_id is not null").select("text").mapInArrow(post, "key long, set long")
-    least = F.first("set").over(Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, 0))
-    pairs = posted.withColumn("head", least).where("`set` <> head").select("head", "set").distinct()
+    posted = src.where("doc_id is not null").select("text").mapInArrow(post, "key long, salt int, set long, band int")
+    # A set meets those of its band and the next, and those of its band and the one before, around the least of each.
+    near_bands = lambda w, col: (F.min(col).over(w.rangeBetween(0, 1)), F.min(col).over(w.rangeBetween(-1, 0)))
+    up, down = near_bands(Window.partitionBy("key", "salt").orderBy("band"), "set")
+    both = posted.withColumn("up", up).withColumn("down", down).where("salt > 0 or `set` <> up or `set` <> down")
+    both = save(both, "columns")
+    # A column of more than so many documents is dealt by salt; its least sets are found by aggregation.
+    least = both.where("salt > 0").groupBy("key", "band").agg(F.min("set").alias("m"))
+    up, down = near_bands(Window.partitionBy("key").orderBy("band"), "m")
+    least = save(least.select("key", "band", up.alias("up"), down.alias("down")), "least")
+    many = both.where("salt > 0").drop("up", "down").join(least, ["key", "band"])
+    pairs = both.where("salt = 0").select("set", "up", "down").unionByName(many.select("set", "up", "down"))
+    pairs = pairs.select("set", F.explode(F.array("up", "down")).alias("head")).where("`set` <> head").select("head", "set").distinct()
     pairs = save(pairs, "pairs")
     size = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("m")).select("head", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     size = save(size, "families")
