@@ -318,7 +318,8 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
 
     near = tiles.groupBy("head", "part").applyInArrow(sift, "head long, part int, set long")
     near = save(near, "near")
-    wanted = near.select("set").distinct()
+    tiles_of = save(_merged(near), "tiles")
+    wanted = tiles_of.select("set").distinct()
     # Where a family is in parts, any member may meet one of another part: all of them are fetched.
     large = members.where("parts > 1").select("head", "set")
     far = large.select("set").union(size.where("parts > 1").select("head")).distinct()
@@ -334,7 +335,8 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
             trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = save(near.join(full, "set").groupBy("head", "part").applyInArrow(overlap, "a long, b long"), "links")
+    tiled = tiles_of.join(full, "set").groupBy("head", "part").applyInArrow(overlap, "a long, b long")
+    links = save(tiled, "links")
     if large.isEmpty():
         return known, links
     # Of two members that no links connect yet, one is outside the largest component of the family: those meet all parts.
@@ -372,6 +374,20 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     return known, links.union(save(met, "across"))
 
 
+def _merged(near: DataFrame) -> DataFrame:
+    """(head, part, set): the parts of near, where families that share members and have PART of them at most together are one.
+
+    So a set goes to one task for all of its small families, and to one for each part of a large family.
+    """
+    roots = save(components(near.select(F.col("head").alias("a"), F.col("set").alias("b"))), "candidates")
+    alone = near.select("head", "part", "set").join(roots.withColumnRenamed("node", "set"), "set", "left")
+    alone = save(alone.withColumn("root", F.coalesce("root", "set")), "rooted")
+    members = alone.select("root", "set").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    sized = alone.join(members, "root")
+    small = sized.where(F.col("m") <= PART).select(F.col("root").alias("head"), F.lit(-1).alias("part"), "set").distinct()
+    return small.unionByName(sized.where(F.col("m") > PART).select("head", "part", "set"))
+
+
 def _fetch(src: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
     """(set, columns) of the wanted sets, from the texts of their documents."""
     bits, n = bitmap(wanted, "doc_id")
