@@ -43,3 +43,24 @@ def bounded(s: Column, size: int = STRING_BYTES) -> Column:
 
 def truncated(s: Column, size: int = STRING_BYTES) -> Column:
     return F.length(s) > size - 1
+
+
+def remove(a: Column, i: int) -> Column:
+    """Without the element at 0-based position i."""
+    return F.concat(F.slice(a, 1, i), F.slice(a, F.lit(i + 2), F.greatest(F.size(a) - i - 1, F.lit(0))))
+
+
+def index_of(a: Column, v: Column) -> Column:
+    """0-based position of the first such element, -1 if there is none."""
+    return (F.array_position(a, v) - 1).cast("long")
+
+
+def fill(a: Column, v: Column) -> Column:
+    """As many elements, all of one value."""
+    return F.transform(a, lambda _: v)
+
+
+def appended(buffer: Column, more: Column, size: int = STRING_BYTES) -> Column:
+    """(text, status): more appended to a bounded buffer; status -1 and nothing but what fits where it does not fit, else 0."""
+    whole = F.concat(buffer, more)
+    return F.struct(bounded(whole, size).alias("text"), F.when(truncated(whole, size), -1).otherwise(0).alias("status"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +29,28 @@ class Camera:
         x /= np.linalg.norm(x)
         return cls(tuple(eye), _quaternion(np.array([x, np.cross(z, x), z])), **more)
 
+    def turned(self, axis: int, angle: float) -> Camera:
+        """Turned about its own axis 0, 1 or 2; points turn the other way."""
+        q = np.zeros(4)
+        q[axis], q[3] = -np.sin(angle / 2), np.cos(angle / 2)
+        r = np.asarray(self.rotation)
+        xyz = q[3] * r[:3] + r[3] * q[:3] + np.cross(q[:3], r[:3])
+        out = np.r_[xyz, q[3] * r[3] - q[:3] @ r[:3]]
+        return replace(self, rotation=tuple(float(v) for v in out / np.linalg.norm(out)))
+
+    def yaw(self, angle: float) -> Camera:
+        return self.turned(1, angle)
+
+    def pitch(self, angle: float) -> Camera:
+        return self.turned(0, angle)
+
+    def roll(self, angle: float) -> Camera:
+        return self.turned(2, angle)
+
+    def walk(self, distance: float) -> Camera:
+        """Moved along the normal of the near plane, which faces the camera: backwards for positive distances."""
+        return replace(self, position=tuple(float(v) for v in np.asarray(self.position) + distance * self.planes()[0, :3]))
+
     def view(self) -> np.ndarray:
         x, y, z, w = self.rotation
         r = np.eye(3) + 2 * np.array([
@@ -100,11 +122,19 @@ def frustum_distances(points: DataFrame, camera: Camera) -> DataFrame:
     return points.withColumns({f"d_{n}": _dot(p, _point()) for n, p in zip(names, camera.planes(), strict=True)})
 
 
+#: A point this near to a plane, relative to the size of what is added up, lies on it, and so inside.
+ON_PLANE = 1e-12
+
+
 def clip_before(points: DataFrame, camera: Camera) -> DataFrame:
-    """Points on the inner side of all six planes: a filter that Spark evaluates at the scan."""
+    """Points on the inner side of all six planes, or on them: a filter that Spark evaluates at the scan.
+
+    The planes are rounded, so a distance that rounding explains counts as none.
+    """
     keep = F.lit(True)
     for p in camera.planes():
-        keep = keep & (_dot(p, _point()) <= 0)
+        size = _dot(np.abs(p), [F.abs(c) for c in _point()])
+        keep = keep & (_dot(p, _point()) <= ON_PLANE * size)
     return points.where(keep)
 
 

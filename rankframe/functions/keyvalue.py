@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -41,3 +43,11 @@ def put(kv: Column, key: str, kind: str, value: Column) -> Column:
 
 def unset(kv: Column, key: str) -> Column:
     return F.map_filter(kv, lambda k, _: k != key)
+
+
+def visit(kv: Column, goes_on: Callable[[Column, Column], Column]) -> Column:
+    """The entries (key, value) that a walk in the order of keys visits: all up to the first for which goes_on is not true, and that one."""
+    entries = F.array_sort(F.map_entries(kv))
+    stops = F.transform(entries, lambda e: ~F.coalesce(goes_on(e["key"], e["value"]), F.lit(False)))
+    at = F.array_position(stops, F.lit(True)).cast("int")
+    return F.when(at > 0, F.slice(entries, F.lit(1), at)).otherwise(entries)

@@ -16,6 +16,34 @@ def intpow(base: Column, exp: Column) -> Column:
     return F.aggregate(steps, one, lambda acc, _: F.try_multiply(acc, base.cast("long")))
 
 
+def floatpow(base: Column, exp: Column) -> Column:
+    """base ** exp for integers exp >= 0 as double, by squaring, so that each product is rounded once."""
+    start = F.struct(F.lit(1.0).alias("r"), base.cast("double").alias("b"), exp.cast("long").alias("e"))
+
+    def step(s: Column, _: Column) -> Column:
+        odd = s["e"].bitwiseAND(F.lit(1)) == 1
+        return F.struct(F.when(odd, s["r"] * s["b"]).otherwise(s["r"]).alias("r"), (s["b"] * s["b"]).alias("b"), F.shiftright(s["e"], 1).alias("e"))
+
+    rounds = F.when(exp > 0, F.sequence(F.lit(1), F.length(F.bin(exp.cast("long"))))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, start, step)["r"]
+
+
+def field_sum(*fields: Column) -> Column:
+    """Fields combined by adding."""
+    out = fields[0]
+    for f in fields[1:]:
+        out = out + f
+    return out
+
+
+def field_product(*fields: Column) -> Column:
+    """Fields combined by multiplying; a constant is a field."""
+    out = fields[0]
+    for f in fields[1:]:
+        out = out * f
+    return out
+
+
 def log2_floor(x: Column) -> Column:
     """floor(log2 x) for x > 0, -1 for 0, exactly."""
     return F.when(x == 0, F.lit(-1)).when(x > 0, F.length(F.bin(x.cast("long"))) - 1).cast("int")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +41,28 @@ def added(df: DataFrame, key: str, pos: str) -> DataFrame:
 def recycle(df: DataFrame, by: str, pos: str, op: str, arg: str) -> DataFrame:
     """(by, pos, slot) of a slot store: 'insert' takes the slot freed last or a new one, 'remove' frees slot arg.
 
-    A store is an ordered fold over its operations, so it is a group of its own.
+    Freed slots are a stack. An insert takes what the last remove before it left at its height of the stack, as a bracket
+    finds its partner; where the stack is empty it takes the next new slot. All of it is native, a store being a
+    window's partition: the heights come from a running sum and its running minimum.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, used, slots = [], 0, []
-        for o, a in pdf.sort_values(pos)[[op, arg]].itertuples(index=False, name=None):
-            if o == "insert":
-                if free:
-                    slots.append(free.pop())
-                else:
-                    slots.append(used)
-                    used += 1
-            else:
-                free.append(int(a))
-                slots.append(int(a))
-        return pdf.sort_values(pos)[[by, pos]].assign(slot=slots)
-
-    t = dict(df.dtypes)
-    return df.select(by, pos, op, arg).groupBy(by).applyInPandas(fold, f"`{by}` {t[by]}, `{pos}` {t[pos]}, slot long")
+    removes = F.col("op") == "remove"
+    src = df.select(by, pos, F.col(op).alias("op"), F.col(arg).cast("long").alias("arg"))
+    w = Window.partitionBy(by).orderBy(pos)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = src.withColumn("sum", F.sum(F.when(removes, 1).otherwise(-1)).over(upto))
+    run = run.withColumn("low", F.least(F.min("sum").over(upto), F.lit(0)))
+    run = run.withColumn("lower", F.coalesce(F.lag("low").over(w), F.lit(0)))
+    fresh = ~removes & (F.col("low") < F.col("lower"))
+    # The height that a remove reaches, or that an insert takes from; new slots are at none.
+    height = F.when(removes, F.col("sum") - F.col("low")).when(~fresh, F.col("sum") - F.col("low") + 1)
+    run = run.withColumn("fresh", fresh).withColumn("height", height)
+    new = F.sum(F.col("fresh").cast("long")).over(upto) - 1
+    same = Window.partitionBy(by, "height").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.last(F.when(removes, F.col("arg")), True).over(same)
+    run = run.withColumn("new", new).withColumn("taken", taken)
+    return run.select(by, pos, F.when(removes, F.col("arg")).when(F.col("fresh"), F.col("new")).otherwise(F.col("taken")).alias("slot"))
+
+
+def at_position(positions: DataFrame, key: str, wanted: DataFrame, position: str = "position") -> DataFrame:
+    """wanted (position) with the key that insert_unique() gave it, null beyond the last."""
+    return wanted.join(positions.select(F.col("position").alias(position), key), position, "left")

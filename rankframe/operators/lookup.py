@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankframe.operators.order import dealt, running_sum
+
 #: Arrays of at most so many entries are looked up as literals, without a join.
 LITERAL_ROWS = 4096
 
@@ -20,39 +22,74 @@ def contains(probes: DataFrame, table: DataFrame, key: str, other: str, negate:
     return probes.join(table.select(F.col(other).alias("__k")), F.col(key) == F.col("__k"), "left_anti" if negate else "left_semi")
 
 
-def _asof(probes: DataFrame, array: DataFrame, key: str, value: str, carry: str, forward: bool, out: str, by: str) -> DataFrame:
-    """Merge of both sides in key order within the groups ``by``, carrying the last (next) array entry to each probe."""
+def _neighbours(probes: DataFrame, array: DataFrame, key: str, value: str, carry: str, by: str) -> DataFrame:
+    """probes with before (value, carry), the last entry of the group with value <= key, and after, the first with value >= key.
+
+    Both sides are put in one order of (group, key) and dealt into ranges of it. Within a range an entry is carried to
+    the probes after and before it; across ranges, of which there is a row each, the nearest entry of another range
+    is, if it is of the same group. So a group may hold any share of the rows. Of equal entries the one with the
+    least carry counts.
+    """
     names = [c for c in probes.columns if c not in (by, key)]
-    left = probes.select(by, F.col(key).alias("__k"), F.struct(*names).alias("__row"), F.lit(None).cast(array.schema[value].dataType).alias("__v"), F.lit(None).cast(array.schema[carry].dataType).alias("__c"), F.lit(0 if forward else 1).alias("__side"))
-    right = array.select(by, F.col(value).alias("__k"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"), F.col(carry).alias("__c"), F.lit(1 if forward else 0).alias("__side"))
-    both = left.unionByName(right)
-    w = Window.partitionBy(by)
-    hit = F.struct(F.col("__v").alias("v"), F.col("__c").alias("c"))
-    hit = F.when(F.col("__v").isNotNull(), hit)
-    if forward:
-        # Of equal entries the one with the least carry comes first after the probe.
-        got = F.first(hit, ignorenulls=True).over(w.orderBy("__k", "__side", "__c").rowsBetween(0, Window.unboundedFollowing))
-    else:
-        got = F.last(hit, ignorenulls=True).over(w.orderBy("__k", "__side", F.col("__c").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(out, got).where("__row is not null").select(by, F.col("__k").alias(key), "__row.*", out)
+    entry = F.struct(F.col("__k").alias("v"), F.col("__c").alias("c"))
+    right = array.groupBy(F.col(by).alias("__by"), F.col(value).alias("__k")).agg(F.min(carry).alias("__c"))
+    right = right.where("__k is not null").withColumn("__hit", entry).drop("__c").withColumn("__side", F.lit(0))
+    left = probes.select(F.col(by).alias("__by"), F.col(key).alias("__k"), F.struct(F.lit(True).alias("__probe"), *names).alias("__row"))
+    both = left.withColumn("__side", F.lit(1)).unionByName(right, allowMissingColumns=True)
+    placed = dealt(both, [F.col("__by").asc_nulls_first(), F.col("__k").asc_nulls_first(), F.col("__side")])
+    hit = F.when(F.col("__hit").isNotNull(), F.struct("__by", "__hit"))
+    ends = placed.groupBy("__range").agg(F.max_by(hit, F.when(hit.isNotNull(), F.col("__place"))).alias("last"), F.min_by(hit, F.when(hit.isNotNull(), F.col("__place"))).alias("first"))
+    w = Window.orderBy("__range")  # a row per range
+    ends = ends.select(
+        "__range", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__in"),
+        F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
+    )
+    w = Window.partitionBy("__range", "__by").orderBy("__place")
+    placed = placed.withColumn("__b", F.last("__hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("__a", F.first("__hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    placed = placed.where("__side = 1").join(ends, "__range")
+    mine = lambda c: F.when(F.col(c)["__by"].eqNullSafe(F.col("__by")), F.col(c)["__hit"])
+    before = F.when(F.col("__k").isNotNull(), F.coalesce("__b", mine("__in")))
+    after = F.when(F.col("__k").isNotNull(), F.coalesce(F.when(before["v"] == F.col("__k"), before), F.col("__a"), mine("__next")))
+    return placed.select(F.col("__by").alias(by), F.col("__k").alias(key), *[F.col("__row").getField(n).alias(n) for n in names], before.alias("before"), after.alias("after"))
 
 
 def lower_bound(probes: DataFrame, array: DataFrame, key: str, value: str, pos: str, by: str) -> DataFrame:
     """Add position, the first one whose value is >= key within the group, else -1."""
-    got = _asof(probes, array, key, value, pos, True, "__hit", by)
-    return got.withColumn("position", F.coalesce(F.col("__hit")["c"], F.lit(-1))).drop("__hit")
+    got = _neighbours(probes, array, key, value, pos, by)
+    return got.withColumn("position", F.coalesce(F.col("after")["c"], F.lit(-1))).drop("before", "after")
 
 
 def closest(probes: DataFrame, array: DataFrame, key: str, value: str, carry: str, by: str) -> DataFrame:
     """Add before (value, carry) with value <= key, and after with value >= key, null where there is none."""
-    back = _asof(probes, array, key, value, carry, False, "before", by)
-    return _asof(back, array, key, value, carry, True, "after", by)
+    return _neighbours(probes, array, key, value, carry, by)
+
+
+def nearest(probes: DataFrame, array: DataFrame, key: str, value: str, carry: str, by: str) -> DataFrame:
+    """Add node (value, carry) and side: 0 an equal entry, -1 the one before, 1 the one after if there is none before; null in an empty group."""
+    got = _neighbours(probes, array, key, value, carry, by)
+    equal, b, a = F.col("before")["v"] == F.col(key), F.col("before"), F.col("after")
+    side = F.when(equal, 0).when(b.isNotNull(), -1).when(a.isNotNull(), 1)
+    return got.withColumn("side", side).withColumn("node", F.coalesce(b, a)).drop("before", "after")
+
+
+def owner_of(probes: DataFrame, counts: DataFrame, pos: str, rank: str = "rank", n: str = "n") -> DataFrame:
+    """Add rank, the one that owns a global position when the table counts says how many elements each rank has.
+
+    Ranks may be many: their starts are an array that positions are looked up in. Empty ranks own none, and
+    positions beyond the last element have a null rank.
+    """
+    starts = running_sum(counts.where(F.col(n) > 0), rank, [], n, "__start").select("__start", (F.col("__start") + F.col(n)).alias("__end"), F.col(rank).alias("__rank"))
+    array = starts.select(F.lit(0).alias("__g"), "__start", F.struct("__rank", "__end").alias("__own"))
+    got = _neighbours(probes.withColumn("__g", F.lit(0)), array, pos, "__start", "__own", "__g")
+    own = F.col("before")["c"]
+    return got.withColumn(rank, F.when(F.col(pos) < own["__end"], own["__rank"])).drop("__g", "before", "after")
 
 
 def bsearch_range(probes: DataFrame, edges: list, key: str, out: str = "slot") -> DataFrame:
     """Add k with edges[k] <= key < edges[k + 1], len(edges) - 1 if there is none. Few edges: no join at all."""
     if len(edges) > LITERAL_ROWS:
-        raise ValueError("use lower_bound for long arrays")
+        raise ValueError("use closest() for long arrays")
     n = len(edges) - 1
     at = F.size(F.filter(F.lit(edges), lambda e: e <= F.col(key)))
     return probes.withColumn(out, F.when((at >= 1) & (at <= n), at - 1).otherwise(F.lit(n)).cast("int"))

@@ -1,52 +1,74 @@
 """Sorts, positions, top-k, permutation and checks of order.
 
-A logical slice is a value of column ``rank``, never a Spark partition. Global positions are
-computed in two levels: a count per range of the leading key, an exclusive prefix over these
-few counts, and positions within a range; no task sees the whole table.
+A logical slice is a value of column ``rank``, never a Spark partition. A global order is one range
+partitioning by all of its columns, so that equal keys are split by their ties; it is written to the shared
+folder with the place of each row in its range, and a prefix over the counts of the ranges, a row each,
+makes that a place in the table. The number of ranges grows with the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
-#: Ranges that a global order is dealt into.
-RANGES = 64
+from rankframe.sources.shared import save
 
+#: Rows of a range of a global order, about.
+ROWS_PER_RANGE = 1 << 21
+#: Bits of monotonically_increasing_id() below the partition.
+PLACE_BITS = 33
 
-def chunk_of(df: DataFrame, key: str, ranges: int = RANGES):
-    """A column that numbers ranges of a numeric key, from approximate quantiles of the table.
 
-    The boundaries are literals, so that evaluations of the plan agree, and do not depend on
-    partitions; equal keys share a range.
+def dealt(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with __range and __place: which range of the order a row lies in, and its place there from 0. Written, so that it stays.
+
+    Any type that Spark orders will do. Rows that agree in the whole order may come in any order.
     """
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / ranges for i in range(1, ranges)], 1000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key).cast("double"))), F.lit(0))
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = save(placed.withColumn("__id", F.monotonically_increasing_id()), "order")
+    split = F.shiftright("__id", PLACE_BITS).cast("int"), F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return placed.withColumn("__range", split[0]).withColumn("__place", split[1]).drop("__id")
+
+
+def _exclusive(ranges: DataFrame, what: str, out: str) -> DataFrame:
+    """(__range, out): the sum of ``what`` over the ranges before, of a table with a row per range."""
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.select("__range", F.coalesce(F.sum(what).over(before), F.lit(0)).alias(out))
 
 
 def positions(df: DataFrame, key: str, ties: list[str], pos: str = "pos") -> DataFrame:
-    """Add the 0-based position in the order of a numeric key, then ties (which make it total). Nulls come first."""
-    order = [F.col(key).asc_nulls_first(), *ties]
-    dealt = df.withColumn("__c", chunk_of(df, key))
-    counts = dealt.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
-    shift = counts.select("__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
-    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__c").orderBy(*order)) - 1)
-    return ranked.join(F.broadcast(shift), "__c").withColumn(pos, (F.col("__r") + F.col("__b")).cast("long")).drop("__c", "__r", "__b")
+    """Add the 0-based position in the order of a key, then ties (which make it total). Nulls come first."""
+    placed = dealt(df, [F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties]])
+    start = _exclusive(placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")), "__n", "__shift")
+    return placed.join(start, "__range").withColumn(pos, F.col("__shift") + F.col("__place")).drop("__range", "__place", "__shift")
+
+
+def grouped_positions(df: DataFrame, by: list[str], key: str, ties: list[str], pos: str = "pos") -> DataFrame:
+    """Add the 0-based position within each group. A group may hold any share of the rows: its range of a global order is split like any other."""
+    placed = positions(df, by[0], [*by[1:], key, *ties], "__at")
+    first = placed.groupBy(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]).agg(F.min("__at").alias("__first"))
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{i}"))
+    found = placed.join(first, same).withColumn(pos, F.col("__at") - F.col("__first"))
+    return found.drop("__at", "__first", *[f"__by{i}" for i in range(len(by))])
 
 
 def running_sum(df: DataFrame, key: str, ties: list[str], value: str, out: str) -> DataFrame:
-    """Add the exclusive prefix sum of value in the order of key and ties, in two levels as positions()."""
-    dealt = df.withColumn("__c", chunk_of(df, key))
-    sums = dealt.groupBy("__c").agg(F.sum(value).alias("__s"))
-    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select("__c", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
-    w = Window.partitionBy("__c").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)
-    inner = dealt.withColumn("__r", F.coalesce(F.sum(value).over(w), F.lit(0)))
-    return inner.join(F.broadcast(shift), "__c").withColumn(out, F.col("__r") + F.col("__b")).drop("__c", "__r", "__b")
+    """Add the exclusive prefix sum of value in the order of key and ties: within ranges, and over their totals."""
+    placed = dealt(df, [F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties]])
+    start = _exclusive(placed.groupBy("__range").agg(F.sum(value).alias("__s")), "__s", "__shift")
+    w = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.withColumn("__r", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return inner.join(start, "__range").withColumn(out, F.col("__r") + F.col("__shift")).drop("__range", "__place", "__r", "__shift")
+
+
+def kth(df: DataFrame, key: str, ties: list[str], k: int) -> DataFrame:
+    """The row at position k of the order; none if there are fewer."""
+    return positions(df, key, ties, "__pos").where(F.col("__pos") == k).drop("__pos")
 
 
 def psort(df: DataFrame, key: str, ties: list[str], counts: list[int]) -> DataFrame:
@@ -66,6 +88,13 @@ def equal_counts(n: int, ranks: int) -> list[int]:
     return [(r + 1) * n // ranks - r * n // ranks for r in range(ranks)]
 
 
+def pops(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
+    """Add popped: when a priority queue that gives the greatest key first, then the least ties, would give each row out."""
+    placed = dealt(df, [F.col(key).desc_nulls_last(), *[F.col(t).asc_nulls_first() for t in ties]])
+    start = _exclusive(placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")), "__n", "__shift")
+    return placed.join(start, "__range").withColumn("popped", F.col("__shift") + F.col("__place")).drop("__range", "__place", "__shift")
+
+
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:
     """The first k rows in an order; order should be total."""
     return df.orderBy(*order).limit(k)
@@ -94,6 +123,29 @@ def permute(df: DataFrame, pos: str, index: str) -> DataFrame:
     return df.drop(pos).withColumnRenamed(index, pos)
 
 
+def same_array(a: DataFrame, b: DataFrame, pos: str, value: str) -> DataFrame:
+    """One row: do both hold the same values at the same positions, and as many?"""
+    x, y = a.select(F.col(pos).alias("p"), F.col(value).alias("v")), b.select(F.col(pos).alias("q"), F.col(value).alias("w"))
+    both = x.join(y, F.col("p") == F.col("q"), "full")
+    odd = F.count_if(F.col("p").isNull() | F.col("q").isNull() | ~F.col("v").eqNullSafe(F.col("w")))
+    return both.agg((odd == 0).alias("same"))
+
+
+def fill(df: DataFrame, value: str, what) -> DataFrame:
+    """Every element becomes one value."""
+    return df.withColumn(value, F.lit(what).cast(df.schema[value].dataType))
+
+
+def truncate(df: DataFrame, pos: str, length: int) -> DataFrame:
+    """The first elements; 0 empties the array."""
+    return df.where(F.col(pos) < length)
+
+
+def index_of(df: DataFrame, value: str, what, pos: str) -> DataFrame:
+    """(position): where an element lies first, -1 if it does not."""
+    return df.agg(F.coalesce(F.min(F.when(F.col(value).eqNullSafe(F.lit(what)), F.col(pos))), F.lit(-1)).cast("long").alias("position"))
+
+
 def view(df: DataFrame, pos: str, offset: int, length: int) -> DataFrame:
     """Rows at [offset, offset + length), renumbered from 0."""
     return df.where((F.col(pos) >= offset) & (F.col(pos) < offset + length)).withColumn(pos, F.col(pos) - offset)

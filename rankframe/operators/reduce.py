@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from rankframe.operators.order import grouped_positions, positions, running_sum
+
 #: Operators by name; LXOR is the parity of true values, REPLACE the value of the last rank.
 OPS: dict[str, Callable[[Column, Column], Column]] = {
     "MAX": lambda v, r: F.max(v), "MIN": lambda v, r: F.min(v), "SUM": lambda v, r: F.sum(v), "PROD": lambda v, r: F.product(v),
@@ -37,7 +39,7 @@ def reduce_custom(df: DataFrame, slot: str, value: str, rank: str, zero: Column,
 
 
 def scan(df: DataFrame, slot: str, rank: str, value: str, inclusive: bool) -> DataFrame:
-    """Add prefix, the sum over lower ranks (and the own one) of the slot."""
+    """Add prefix, the sum over lower ranks (and the own one) of the slot. A slot has a row per rank."""
     w = Window.partitionBy(slot).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return df.withColumn("prefix", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
@@ -50,22 +52,44 @@ def prefix(df: DataFrame, slot: str, rank: str, value: str) -> DataFrame:
 
 
 def allgather(df: DataFrame, rank: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """All ranks' values in rank order, as an array (of arrays, if value is one: see gatherv)."""
-    items = F.sort_array(F.collect_list(F.struct(F.col(rank), F.col(value))))
-    return df.groupBy(*(by or [])).agg(F.transform(items, lambda s: s[value]).alias("gathered"))
+    """(by, at, value): all ranks' values, with their place in rank order. A table is what all ranks know, so none is copied to each.
+
+    A group of any number of ranks is split; gathered() makes an array of a group that fits a row.
+    """
+    src = df.select(*[F.col(b) for b in by or []], F.col(rank).alias("__rank"), F.col(value).alias("value"))
+    got = grouped_positions(src, by, "__rank", [], "at") if by else positions(src, "__rank", [], "at")
+    return got.select(*(by or []), "at", "value")
 
 
 def gatherv(df: DataFrame, rank: str, values: str, by: list[str] | None = None) -> DataFrame:
-    """As allgather of arrays of any size, concatenated, with the offset of each rank's part and the total."""
-    got = allgather(df, rank, values, by)
-    sizes = F.transform("gathered", lambda a: F.size(a).cast("long"))
-    offsets = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return got.withColumn("offsets", offsets).withColumn("gathered", F.flatten("gathered"))
+    """(by, at, first, values): as allgather of arrays of any size, with where each begins in the concatenation of its group."""
+    keys = by or []
+    src = df.select(*keys, F.col(rank).alias("__rank"), F.col(values).alias("values"), F.size(values).cast("long").alias("__n"))
+    src = src.withColumn("__one", F.lit(0)) if not keys else src
+    first = keys or ["__one"]
+    got = grouped_positions(src, first, "__rank", [], "at")
+    got = running_sum(got, first[0], [*first[1:], "at"], "__n", "__sum")
+    start = got.where("at = 0").select(*[F.col(k).alias(f"__by{i}") for i, k in enumerate(first)], F.col("__sum").alias("__start"))
+    same = F.lit(True)
+    for i, k in enumerate(first):
+        same = same & F.col(k).eqNullSafe(F.col(f"__by{i}"))
+    return got.join(start, same).select(*keys, "at", (F.col("__sum") - F.col("__start")).alias("first"), "values")
+
+
+def gathered(df: DataFrame, by: list[str], at: str = "at", value: str = "value") -> DataFrame:
+    """(by, gathered): the values of each group in order, as an array. A group must fit a row."""
+    items = F.sort_array(F.collect_list(F.struct(F.col(at), F.col(value))))
+    return df.groupBy(*by).agg(F.transform(items, lambda s: s[value]).alias("gathered"))
 
 
 def bcast(df: DataFrame, rank: str, root: int, value: str, out: str) -> DataFrame:
     """Every row gets the root rank's value (one row)."""
-    one = df.where(F.col(rank) == root).agg(F.first(value).alias(out))
+    return bcast_from(df, df, rank, root, value, out)
+
+
+def bcast_from(df: DataFrame, source: DataFrame, rank: str, root: int, value: str, out: str) -> DataFrame:
+    """Every row of df gets the value that the root rank has in source (one row)."""
+    one = source.where(F.col(rank) == root).agg(F.first(value).alias(out))
     return df.crossJoin(F.broadcast(one))  # a single row
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 ALL_GROUPS, ALL_PRIOS = -2, -3
 
@@ -49,3 +50,42 @@ def bucket_sizes(df: DataFrame, bucket, buckets: int) -> DataFrame:
         (F.sum("n") / buckets).alias("mean"),
         F.sqrt(F.greatest(F.sum(F.col("n") * F.col("n")) / buckets - F.pow(F.sum("n") / buckets, 2), F.lit(0.0))).alias("deviation"),
     )
+
+
+def summary_vector(summary: DataFrame, variable: str, order: str) -> DataFrame:
+    """One row: the means and the greatest values of all variables in their order, as the report's last lines have them. A variable is a row."""
+    items = F.sort_array(F.collect_list(F.struct(F.col(order), "mean", "greatest")))
+    got = summary.agg(items.alias("i"))
+    return got.select(F.transform("i", lambda s: s["mean"]).alias("means"), F.transform("i", lambda s: s["greatest"]).alias("maxima"))
+
+
+class Statistics:
+    """A named container of variables. Adding a name twice and accumulating an unknown one are errors."""
+
+    def __init__(self):
+        self.values: dict[str, list[DataFrame]] = {}
+
+    def add(self, name: str) -> None:
+        if name in self.values:
+            raise ValueError(f"statistics variable {name!r} exists already")
+        self.values[name] = []
+
+    def accumulate(self, name: str, df: DataFrame, value: Column, rank: Column) -> None:
+        """Count the values of a table under a variable."""
+        if name not in self.values:
+            raise KeyError(f"statistics variable {name!r} is unknown")
+        self.values[name].append(df.select(F.lit(name).alias("variable"), value.cast("double").alias("value"), rank.cast("long").alias("rank")))
+
+    def compute(self) -> DataFrame:
+        """summarize() by variable, in one aggregation; variables without values have none."""
+        parts = [p for ps in self.values.values() for p in ps]
+        names = [n for n, ps in self.values.items() if not ps]
+        if not parts:
+            raise ValueError("no variable has values")
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        if names:
+            empty = every.sparkSession.createDataFrame([(n, None, None) for n in names], every.schema)
+            every = every.unionByName(empty)
+        return summarize(every, ["variable"], "value", "rank")

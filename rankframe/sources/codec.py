@@ -9,7 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 #: Code characters per line, and bytes per block of the VTK encodings.
 LINE, BLOCK = 76, 32768
@@ -76,3 +76,58 @@ def encode_vtk_binary(data: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def encode_vtk_compressed(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else vtk_compressed(bytes(d)))
+
+
+def vtk_blocks(code: str) -> tuple[int, int, bytes]:
+    """(blocks, size of the last block, data) of a compressed VTK text."""
+    raw = base64.b64decode(code[:4] + "====") if len(code) < 16 else base64.b64decode(code[:16])
+    n = struct.unpack_from("<I", raw)[0]
+    end = -(-4 * (3 + n) // 3) * 4
+    head = struct.unpack(f"<{3 + n}I", base64.b64decode(code[:end]))
+    body, at, out = base64.b64decode(code[end:]), 0, []
+    for size in head[3:]:
+        out.append(zlib.decompress(body[at : at + size]))
+        at += size
+    return n, head[2], b"".join(out)
+
+
+@F.pandas_udf(StructType([StructField("blocks", LongType()), StructField("last", LongType()), StructField("data", BinaryType())]))
+def decode_vtk_compressed(code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None, None) if c is None else vtk_blocks(c) for c in code], columns=["blocks", "last", "data"])
+
+
+#: Bytes of a stored block: with its header of five bytes, 64 KiB.
+STORED = 65531
+
+
+def stored(data: bytes) -> bytes:
+    """A zlib stream without compression: for readers of zlib where no compressor is at hand."""
+    out = [b"\x78\x01"]
+    for at in range(0, max(1, len(data)), STORED):
+        part = data[at : at + STORED]
+        out += [struct.pack("<BHH", at + STORED >= len(data), len(part), len(part) ^ 0xFFFF), part]
+    return b"".join([*out, struct.pack(">I", zlib.adler32(data))])
+
+
+def stored_size(n: Column) -> Column:
+    """Bytes of stored() of n bytes."""
+    n = n.cast("long")
+    return n + 6 + 5 * F.greatest(F.lit(1), F.ceil(n / STORED)).cast("long")
+
+
+@F.pandas_udf(BinaryType())
+def encode_stored(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else stored(bytes(d)))
+
+
+@F.pandas_udf(BinaryType())
+def inflate(data: pd.Series) -> pd.Series:
+    """The data of a zlib stream, null where it is none."""
+
+    def one(d):
+        try:
+            return None if d is None else zlib.decompress(bytes(d))
+        except zlib.error:
+            return None
+
+    return data.map(one)
