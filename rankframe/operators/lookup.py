@@ -44,9 +44,11 @@ def _neighbours(probes: DataFrame, array: DataFrame, key: str, value: str, carry
         "__range", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__in"),
         F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
     )
-    w = Window.partitionBy("__range", "__by").orderBy("__place")
-    placed = placed.withColumn("__b", F.last("__hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("__a", F.first("__hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # Both frames grow from one end of the range: a frame that shrinks would be added up anew for each row.
+    w = Window.partitionBy("__range", "__by")
+    upto = Window.unboundedPreceding, Window.currentRow
+    placed = placed.withColumn("__b", F.last("__hit", True).over(w.orderBy("__place").rowsBetween(*upto)))
+    placed = placed.withColumn("__a", F.last("__hit", True).over(w.orderBy(F.col("__place").desc()).rowsBetween(*upto)))
     placed = placed.where("__side = 1").join(ends, "__range")
     mine = lambda c: F.when(F.col(c)["__by"].eqNullSafe(F.col("__by")), F.col(c)["__hit"])
     before = F.when(F.col("__k").isNotNull(), F.coalesce("__b", mine("__in")))
