@@ -86,6 +86,6 @@ class Statistics:
         for p in parts[1:]:
             every = every.unionByName(p)
         if names:
-            empty = every.sparkSession.createDataFrame([(n, None, None) for n in names], every.schema)
-            every = every.unionByName(empty)
+            empty = every.sparkSession.createDataFrame([(n,) for n in names], "variable string")
+            every = every.unionByName(empty, allowMissingColumns=True)
         return summarize(every, ["variable"], "value", "rank")

@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 #: Format of each packed type by its number.
 TYPES = {0: "i", 1: "d", 2: "b", 3: "q", 4: "f"}
@@ -161,7 +161,7 @@ def read_at(requests: DataFrame, path: str, offset: str, n: str) -> DataFrame:
                     errors.append(error_name(e.errno or errno.EIO))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array(errors)], [*b.schema.names, "data", "error"])
 
-    return requests.mapInArrow(run, requests.withColumns({"data": F.lit(b""), "error": F.lit("")}).schema)
+    return requests.mapInArrow(run, StructType([*requests.schema.fields, StructField("data", BinaryType()), StructField("error", StringType())]))
 
 
 #: The class of an error of the file system, by the names of its numbers.
