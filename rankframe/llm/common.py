@@ -151,14 +151,14 @@ def rank_bits(rows: int) -> int:
     return max(6, (rows >> 20).bit_length())
 
 
-def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, bits: int) -> DataFrame:
-    """Add column rank: 0, 1, .. within the keys, in the order of the hash of ``order``.
+def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, bits: int, hashed: bool = False) -> DataFrame:
+    """Add column rank: 0, 1, .. within the keys, in the order of the hash of ``order``, or with hashed of its first column, a hash.
 
     A key may hold a third of all rows: each key is dealt into 2**bits ranges of the hash (see
     rank_bits()), ranked by themselves, and shifted by the counts of the ranges before. Rows that agree
     in ``order`` are interchangeable, so reruns give the same rows. Null keys are a key.
     """
-    h = F.xxhash64(*[F.col(c) for c in order])
+    h = F.col(order[0]) if hashed else F.xxhash64(*[F.col(c) for c in order])
     part = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int")
     dealt = df.withColumn("__h", h).withColumn("__part", part)
     for i, k in enumerate(keys):

@@ -163,25 +163,23 @@ def mix_documents(
     table gives no rows. Repeated rows are documents of their own; where the mix takes only some of the rows that
     agree in id, source and text, all that it takes of them comes out as copies of one.
 
-    Ids and sizes alone are shuffled and ranked. What they decide is a row per source and length, the last key
+    Ids and sizes alone are shuffled and ranked. What they decide is a row per source and length, the last hash
     that is taken, by which each text is kept or not where it is read: Spark broadcasts these rows if they are small.
     """
     mark = F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0))
     own = {"id": F.col(f"`{doc_id}`"), "source": F.col(f"`{source}`"), "size": word_count(text), "mark": mark}
     narrow = df.select(own["id"].alias("doc_id"), *[own[n].alias(n) for n in ("source", "size", "mark")])
-    rules = save(_rules(_ranked(narrow, weights, most, seed)), "rules")
+    rules, edges = _rules(_ranked(narrow, weights, most, seed))
     rows = df.select(F.struct(*columns(df)).alias("row"), *[c.alias(n) for n, c in own.items()], _order(own["id"], mark, seed).alias("hash"))
     same = rows["source"].eqNullSafe(rules["source"]) & (rows["size"] == rules["size"])
-    mine = F.struct(F.col("hash"), F.col("id"), F.col("mark"))
-    ruled = rows.join(rules, same, "left").select("row", "id", "mark", mine.alias("key"), rows["source"].alias("source"), "passes", "last", "ties", "tied")
-    # Rows that agree with the last one taken in id, source and text are shared out among them: they become one first.
-    at_last = F.coalesce((F.col("key") == F.col("last")) & (F.col("ties") > 1), F.lit(False))
-    times = F.col("passes") + F.coalesce(F.col("key") <= F.col("last"), F.lit(False)).cast("long")
-    plain = ruled.where(~at_last).select("row", times.alias("times"))
-    shared = ruled.where(at_last).groupBy("id", "source", "mark").agg(
-        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"), F.first(F.col("passes") * F.col("ties") + F.col("tied")).alias("times")
-    )
-    both = plain.unionByName(shared.select("row", "times")).where("times > 0")
+    ruled = rows.join(rules, same).select("row", "id", "mark", "hash", rows["source"].alias("source"), "passes", "last")
+    once = F.coalesce(F.col("hash") < F.col("last"), F.lit(False)).cast("long")
+    plain = ruled.where(~F.coalesce(F.col("hash") == F.col("last"), F.lit(False))).select("row", (F.col("passes") + once).alias("times"))
+    # Rows with the hash of the last one taken may be repeats of it, of which some are taken: they become one first.
+    at_last = ruled.where("hash = last").groupBy("id", "source", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    a, b = at_last.alias("a"), edges.alias("b")
+    mine = F.col("a.id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.mark") == F.col("b.mark"))
+    both = plain.unionByName(a.join(b, mine).select("a.row", "b.times")).where("times > 0")
     return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
@@ -207,25 +205,25 @@ def _ranked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) ->
     hist = hist.join(per, hist["source"].eqNullSafe(per["source"])).select(hist["source"], "size", "n", "target")
     # A group holds one row per length that occurs, whatever the number of documents.
     got = save(hist.groupBy("source").applyInPandas(fit, "source string, size long, passes long, take long"), "taken")
-    ranked = spread_rank(docs, ["source", "size"], ["hash", "doc_id", "mark"], "rank", rank_bits(docs.count()))
+    ranked = spread_rank(docs, ["source", "size"], ["hash", "doc_id", "mark"], "rank", rank_bits(docs.count()), hashed=True)
     a, b, c = ranked.alias("a"), got.alias("b"), per.alias("c")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
     joined = joined.join(c, F.col("a.source").eqNullSafe(F.col("c.source")))
     return joined.select("a.doc_id", "a.source", "a.size", "a.mark", "a.hash", "a.rank", "b.passes", "b.take", "c.source_size", "c.target")
 
 
-def _rules(ranked: DataFrame) -> DataFrame:
-    """By source and size: the whole passes, the last key that is taken once more, its rows, and how many of these are taken.
+def _rules(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, size, passes, last): the whole passes, and the hash up to which documents are taken once more, null for none.
 
-    A row per length that occurs in a source, and null keys where none or all are taken: a text needs no more to decide.
+    And (doc_id, source, mark, times) of the documents that have just that hash. So a text needs a row per length
+    that occurs in its source to be decided, and no more of it where a length is taken as a whole.
     """
-    key = F.struct("hash", "doc_id", "mark")
-    ranked = save(ranked.withColumn("key", key).withColumn("once", F.col("rank") < F.col("take")), "ranked")
-    last = ranked.groupBy("source", "size").agg(F.first("passes").alias("passes"), F.max(F.when(F.col("once"), F.col("key"))).alias("last"))
-    last = save(last, "last")
-    a, b = ranked.alias("a"), last.alias("b")
-    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.key") == F.col("b.last"))
-    ties = a.join(b, same).groupBy("a.source", "a.size").agg(F.count(F.lit(1)).alias("ties"), F.count_if("a.once").alias("tied"))
-    c, d = last.alias("c"), ties.alias("d")
-    joined = c.join(d, F.col("c.source").eqNullSafe(F.col("d.source")) & (F.col("c.size") == F.col("d.size")), "left")
-    return joined.select("c.source", "c.size", "c.passes", F.col("c.last"), "d.ties", "d.tied")
+    ranked = save(ranked.select("source", "size", "doc_id", "mark", "hash", "rank", "passes", "take"), "ranked")
+    whole = F.first("take") >= F.count(F.lit(1))
+    last = F.when(whole, F.lit((1 << 63) - 1)).otherwise(F.max(F.when(F.col("rank") == F.col("take") - 1, F.col("hash"))))
+    rules = save(ranked.groupBy("source", "size").agg(F.first("passes").alias("passes"), last.alias("last")), "rules")
+    a, b = ranked.alias("a"), rules.alias("b")
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.hash") == F.col("b.last"))
+    times = F.sum(F.col("a.passes") + (F.col("a.rank") < F.col("a.take")).cast("long"))
+    edges = a.join(b, same).groupBy("a.doc_id", "a.source", "a.mark").agg(times.alias("times"))
+    return rules, save(edges, "edges")
