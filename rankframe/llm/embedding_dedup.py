@@ -116,16 +116,20 @@ def filters(x: np.ndarray, drawn: list[Code]) -> np.ndarray:
     return np.sort(np.concatenate([decode(x, c) + k * size for k, c in enumerate(drawn)], axis=1), axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two, which rounds nothing, so that the largest component is near one and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def unit_rows(values) -> np.ndarray:
-    """Rows of length one; each is divided by its largest component first, so that no square overflows or vanishes."""
-    x = np.array(values, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    """Rows of length one."""
+    x = scaled(np.array(values, dtype=np.float64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
     """The cosine of two vectors from exactly rounded sums, so that it does not depend on the order of the components or vectors."""
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    a, b = scaled(a), scaled(b)
     return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
 
 
