@@ -130,16 +130,78 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5."""
+    return op5_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op10."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     every = (
         op1_html_extraction, op2_ngram_jaccard_join, op3_quality_classifier, op4_embedding_near_dedup, op5_secret_scans,
-        op6_packing, op7_mixing, op8_url_filters, op9_warc, op10_quality_rules,
+        op6_packing, op7_mixing, op8_url_filters, op9_warc, op10_quality_rules, secret_base_counts, mixing_targets, quality_base_counts,
     )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_OP2 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+_SECRETS = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+_TARGETS = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1)),
+c AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 3.0::DOUBLE * source_size AS most FROM p),
+o AS (SELECT *, most / w AS ratio, row_number() OVER (ORDER BY most / w, i) - 1 AS k FROM c),
+l AS (
+  SELECT o.ratio, o.k, ((SELECT sum(source_size) FROM o) - coalesce((SELECT sum(x.most) FROM o x WHERE x.k < o.k), 0)) / (SELECT sum(x.w) FROM o x WHERE x.k >= o.k) AS level FROM o),
+level AS (SELECT (SELECT level FROM l WHERE ratio > level ORDER BY k LIMIT 1) AS level)
+SELECT doc_id, size, source_size, round(least(most, coalesce(w * level, most)), 6) AS target
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, level
+"""
+
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM v) WHERE c > 1),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(8) t(k) GROUP BY 1),
+q AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN n USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM q
+"""
+
 _OP4 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
@@ -193,5 +255,8 @@ FROM q LEFT JOIN f ON q.d = f.d AND q.n >= 100
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op4_embedding_near_dedup": _OP4, "op8_url_filters": _OP8, "op9_warc": _OP9}
+    own = {
+        "op2_ngram_jaccard_join": _OP2, "op4_embedding_near_dedup": _OP4, "op8_url_filters": _OP8, "op9_warc": _OP9,
+        "secret_base_counts": _SECRETS, "mixing_targets": _TARGETS, "quality_base_counts": _QUALITY,
+    }
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
