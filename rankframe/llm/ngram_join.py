@@ -35,13 +35,13 @@ from rankframe.llm.components import components, forest
 #: Sets of which a task remembers that it has posted them.
 REMEMBERED = 250_000
 #: Bits of the number of counts of n-grams, at most, and the parts in which a task sends its counts.
-MOST_COUNTS, CHUNKS = 19, 64
+MOST_COUNTS, CHUNKS = 22, 64
 #: Tables of counts that are added up in one task.
 TABLES = 256
-#: Rows from which on a column is dealt by salt, at least.
-HOT = 1 << 16
+#: Magnitude of the rows of a column beyond which it is dealt by salt, at least.
+HOT = 16
 #: Buckets of the summary that rules pairs out before their sets are fetched.
-SKETCH = 256
+SKETCH = 64
 #: Members of a family that are compared in one task.
 PART = 256
 #: Members, and entries of their sets, on either side of a task that compares parts of a large family.
@@ -90,10 +90,10 @@ class Bands:
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
 
-def rarest(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first columns of a set in the order of (magnitude of their count, name), as many as a link needs, and their counts."""
-    seen = counts[bucket(s, len(counts))]
-    order = np.lexsort((_mix(s), np.frexp(seen.astype(np.float64))[1]))
+def rarest(s: np.ndarray, magnitudes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first columns of a set in the order of (magnitude of their count, name), as many as a link needs, and their magnitudes."""
+    seen = magnitudes[bucket(s, len(magnitudes))]
+    order = np.lexsort((_mix(s), seen))
     first = order[: len(s) + 1 - -(-num * len(s) // den)]
     return s[first], seen[first]
 
@@ -148,16 +148,16 @@ def product(sets: list[np.ndarray], num: int, den: int, rows: np.ndarray | None
 
 
 def _profiles(src: DataFrame, words: int, seed: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, set, more, sketch of each row, and in how many rows the n-grams of each bucket occur.
+    """doc_id, n, set, more, sketch of each row, and the binary magnitude of how many rows hold n-grams of each bucket.
 
-    Tasks count in tables of their own, which they send in CHUNKS parts after their rows; those of up to TABLES
-    tasks are added up first, and then what that makes.
+    Tasks count in tables of their own, up to 255 in a byte, which they send in CHUNKS parts after their rows; those of up
+    to TABLES tasks are added up first, and then what that makes. The counts only order the columns: results do not depend on them.
     """
     rows = src.count()
-    size = 1 << min(MOST_COUNTS, max(12, (8 * rows).bit_length()))
+    size = 1 << min(MOST_COUNTS, max(12, (64 * rows).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, dtype=np.int64)
+        counts = np.zeros(size, dtype=np.uint32)
         for b in batches:
             n, names, more, sketches, buckets = [], [], [], [], [np.zeros(0, dtype=np.int64)]
             for t in b.column(1):
@@ -168,10 +168,10 @@ def _profiles(src: DataFrame, words: int, seed: int) -> tuple[DataFrame, np.ndar
                 names.append((d & (2**64 - 1)) - 2**63 if len(s) else None)
                 more.append((d >> 64) - 2**63 if len(s) else None)
                 sketches.append(sketch(s) if len(s) else None)
-            counts += np.bincount(np.concatenate(buckets), minlength=size)
+            np.add.at(counts, np.concatenate(buckets), np.uint32(1))
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(more, pa.int64()), pa.array(sketches, pa.binary()), *none], names_)
-        parts = [x.astype("<u8").tobytes() for x in np.split(counts, CHUNKS)] if counts.any() else []
+        parts = [x.tobytes() for x in np.split(np.minimum(counts, 255).astype(np.uint8), CHUNKS)] if counts.any() else []
         none = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names_)
         trim()
@@ -181,19 +181,29 @@ def _profiles(src: DataFrame, words: int, seed: int) -> tuple[DataFrame, np.ndar
     made = save(src.select("doc_id", "text").mapInArrow(run, schema), "profiles")
 
     tables = made.where("chunk is not null").select("chunk", "counts")
-    counts = np.zeros(size, dtype=np.uint64)
+    magnitudes = np.zeros(size, dtype=np.uint8)
     bins = -(-tables.count() // (CHUNKS * TABLES))
     tables = tables.withColumn("bin", F.pmod(F.xxhash64("counts"), F.lit(max(1, bins))))
-    tables = tables.groupBy("chunk", "bin").applyInArrow(_added, "chunk int, counts binary")
-    for chunk, raw in tables.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect():  # CHUNKS rows
+    tables = tables.groupBy("chunk", "bin").applyInArrow(_adder("u1", "<u4"), "chunk int, counts binary")
+    tables = tables.groupBy("chunk").applyInArrow(_adder("<u4", "<u8", magnitudes=True), "chunk int, counts binary")
+    for chunk, raw in tables.collect():  # CHUNKS rows
         at = chunk * (size // CHUNKS)
-        counts[at : at + size // CHUNKS] = np.frombuffer(raw, dtype="<u8")
-    return made.where("chunk is null").drop("chunk", "counts"), counts
+        magnitudes[at : at + size // CHUNKS] = np.frombuffer(raw, dtype=np.uint8)
+    return made.where("chunk is null").drop("chunk", "counts"), magnitudes
 
 
-def _added(key, batch):
-    total = sum(np.frombuffer(x.as_py(), dtype="<u8") for x in batch["counts"])
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _adder(kind: str, total_kind: str, magnitudes: bool = False):
+    """Add up tables of one kind of numbers to another, or to the binary magnitudes of the sums."""
+
+    def run(key, batch):
+        total = np.zeros(len(batch["counts"][0].as_py()) // np.dtype(kind).itemsize, dtype=total_kind)
+        for x in batch["counts"]:
+            total += np.frombuffer(x.as_py(), dtype=kind)
+        if magnitudes:
+            total = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return run
 
 
 def bitmap(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -250,7 +260,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     spark, bands = src.sparkSession, Bands(num, den)
     bounded_batches(spark)
     for seed in range(8):
-        known, counts = _profiles(src, words, seed)
+        known, magnitudes = _profiles(src, words, seed)
         sets = known.where("`set` is not null and doc_id is not null").groupBy("set").agg(
             F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.min("more").alias("more"), F.max("more").alias("most")
         )
@@ -258,7 +268,8 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         if sets.where("more <> most").isEmpty():
             break  # else two sets share a name: take other names
 
-    hot = max(HOT, 8 * int(counts.mean()))
+    # Magnitude m: up to 2^m rows hold n-grams of the bucket. Hot is what has many, and far more than most.
+    hot = max(HOT, int(np.median(magnitudes)) + 3)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies in one task are posted once; a third of all rows may be copies
@@ -273,9 +284,9 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
                     continue
                 if len(done) < REMEMBERED:
                     done.add(name)
-                key, seen = rarest(s, counts, num, den)
+                key, seen = rarest(s, magnitudes, num, den)
                 keys.append(key.view(np.int64))
-                salts.append(np.where(seen > hot, 1 + name % (1 + seen // U(hot)).astype(np.int64), 0).astype(np.int32))
+                salts.append(np.where(seen > hot, 1 + name % (1 << np.minimum(np.maximum(seen.astype(np.int64) - hot, 0), 24)), 0).astype(np.int32))
                 names.append(np.full(len(key), name, dtype=np.int64))
                 sizes.append(np.full(len(key), bands.of(len(s)), dtype=np.int32))
             if keys:
@@ -323,12 +334,12 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     # Where a family is in parts, any member may meet one of another part: all of them are fetched.
     large = members.where("parts > 1").select("head", "set")
     far = large.select("set").union(size.where("parts > 1").select("head")).distinct()
-    wanted = save(wanted.union(far).distinct().join(sets.select("set", "doc_id"), "set"), "wanted")
+    wanted = save(wanted.union(far).distinct().join(sets.select("set", F.col("doc_id").alias("holder")), "set"), "wanted")
     full = save(_fetch(src, wanted, words, seed), "fetched")
 
     def overlap(key, batch):
-        sets_ = [np.frombuffer(x, dtype=U) for x in batch["columns"].to_pylist()]
-        names = batch["set"].to_numpy()
+        names, first = np.unique(batch["set"].to_numpy(), return_index=True)
+        sets_ = [np.frombuffer(batch["columns"][int(k)].as_py(), dtype=U) for k in first]
         i, j = product(sets_, num, den)
         a, b = forest(names[i], names[j])
         if sum(map(len, sets_)) > LARGE:
@@ -390,22 +401,31 @@ def _merged(near: DataFrame) -> DataFrame:
 
 def _fetch(src: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
     """(set, columns) of the wanted sets, from the texts of their documents."""
-    bits, n = bitmap(wanted, "doc_id")
+    bits, n = bitmap(wanted, "holder")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()  # a row may be repeated any number of times
         for b in batches:
-            names, columns = [], []
-            for t in b.column(0):
+            ids, names, columns = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingle_set(t.as_py(), words)
-                if len(s):
-                    names.append((xxhash.xxh3_128_intdigest(s.tobytes(), seed) & (2**64 - 1)) - 2**63)
-                    columns.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(columns, pa.binary())], ["set", "columns"])
+                if not len(s):
+                    continue
+                name = (xxhash.xxh3_128_intdigest(s.tobytes(), seed) & (2**64 - 1)) - 2**63
+                if (i, name) in done:
+                    continue
+                if len(done) < REMEMBERED:
+                    done.add((i, name))
+                ids.append(i)
+                names.append(name)
+                columns.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(columns, pa.binary())], ["holder", "set", "columns"])
         trim()
 
-    some = src.where("doc_id is not null").where(maybe_in(bits, n, "doc_id")).select("text")
-    made = some.mapInArrow(run, "set long, columns binary")
-    return made.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("columns").alias("columns"))
+    some = src.where("doc_id is not null").where(maybe_in(bits, n, "doc_id")).select("doc_id", "text")
+    made = some.mapInArrow(run, "holder long, set long, columns binary")
+    # A set comes from the document that holds it first, so once from each task that has a copy of that row.
+    return made.join(wanted, ["holder", "set"], "left_semi").select("set", "columns")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
