@@ -10,6 +10,7 @@ pieces of its length.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ WINDOW = 2048
 END_ID = 1
 #: Words kept with their ids by each Python worker, in each of two generations.
 CACHE_WORDS = 700_000
+#: Characters of punctuation that a word may end with; an apostrophe may belong to a token with letters.
+TAIL = b"*#$%&|!?,.;:"
 #: Lengths tried as second piece beside each first one.
 PARTNERS = 12
 #: Rounds of the fit at most, what a window of padding costs in it, and the repeat count from which a combination is taken.
@@ -63,29 +66,50 @@ def _encode(words: list[bytes], kept: dict) -> list[bytes]:
     return out
 
 
+def _tail(word: bytes) -> int:
+    """Where the punctuation at a word's end begins if it follows a letter or digit, else 0: no token goes over that border."""
+    stem = word.rstrip(TAIL)
+    if not stem or len(stem) == len(word):
+        return 0
+    # Normal form and lower case may turn a last letter into one with a mark, which is no letter.
+    plain = stem[-1:].isalnum() if stem[-1] < 128 else unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower()[-1].isalpha()
+    return len(stem) if plain else 0
+
+
 def token_bytes(texts: list, path: str, cache_words: int = CACHE_WORDS) -> list[bytes]:
-    """The ids of each text, without END_ID, as little-endian unsigned 32-bit integers.
+    """The ids of each text (a string, or its bytes in UTF-8), without END_ID, as little-endian unsigned 32-bit integers.
 
     The tokenizer lowers case, drops white space, and no token spans it: a text's ids are those
-    of its words. Each word is tokenized once for as long as it stays in the worker's cache.
+    of its words, and a word's those of what stands before its last punctuation, and of that. Each word is tokenized
+    once for as long as it stays in the worker's cache.
     """
     kept = _tokenizer(path)
     split = []
     for t in texts:
-        raw = (t or "").encode("utf-8", "replace")
+        raw = t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace")
         split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens depend on case
-    every = set().union(*split)
-    new = every.difference(kept["words"])
-    if len(kept["words"]) + len(new) > cache_words:  # the next generation begins with this batch
+    get = kept["words"].get
+    found = [list(map(get, ws)) for ws in split]
+    todo = [i for i, ids in enumerate(found) if None in ids]
+    new = {w for i in todo for w, ids in zip(split[i], found[i], strict=True) if ids is None}
+    if len(kept["words"]) + len(new) > cache_words:  # the next generation begins with the words of this batch that are new
         kept["old"], kept["words"] = kept["words"], {}
-        new = every
     words, old = kept["words"], kept["old"]
-    known = new.intersection(old)
+    cuts = {w: c for w in new if (c := _tail(w))} if kept["mark"] is not None else {}
+    parts = new.difference(cuts)
+    for w, c in cuts.items():
+        parts.add(w[:c])
+        parts.add(w[c:])
+    parts.difference_update(words)
+    known = parts.intersection(old)
     words.update(zip(known, map(old.__getitem__, known), strict=True))
-    fresh = list(new.difference(known))
+    fresh = list(parts.difference(known))
     words.update(zip(fresh, _encode(fresh, kept), strict=True))
-    get = words.__getitem__
-    return [b"".join(map(get, ws)) for ws in split]
+    for w, c in cuts.items():
+        words[w] = words[w[:c]] + words[w[c:]]
+    for i in todo:
+        found[i] = [words[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+    return [b"".join(ids) for ids in found]
 
 
 def pieces(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -224,7 +248,7 @@ def cut(
         trim()  # what earlier stages left in this worker
         for b in batches:
             keys, rows = [], []
-            for i, ids in enumerate(token_bytes(b.column(1).to_pylist(), tokenizer, cache_words)):
+            for i, ids in enumerate(token_bytes(b.column(1).cast(pa.binary()).to_pylist(), tokenizer, cache_words)):
                 found = pieces(ids + end, window)
                 keys += [i] * len(found)
                 rows += [(*p, len(ids) // 4 + 1) for p in found]
