@@ -3,11 +3,12 @@
 A filter is a direction; vectors with high inner products to it lie in a cap around it. Directions
 are all combinations of one random codeword per block of dimensions: each vector finds the filters
 nearest to it by list decoding, from a few inner products per block, however many filters there
-are. Vectors that share a filter are compared exactly. The number of filters grows with the number
-of vectors, so that a cap holds about as many unrelated vectors at every size. Every vector lists
-equally many filters of each of several independent codes. As a code is rotated at random and a list
-depends on its vector alone, the chance that a pair shares no filter depends on its cosine only, not
-on the data: it is measured when the codes are drawn, and codes are added until it is small enough.
+are. Filters that differ in their last codeword only are joined together, as a bundle: vectors that share a
+bundle are compared exactly. The number of filters grows with the number of vectors, so that a bundle
+holds about as many unrelated vectors at every size. Every vector lists equally many filters of each of
+several independent codes. As a code is rotated at random and a list depends on its vector alone, the
+chance that a pair shares no bundle depends on its cosine only, not on the data: it is measured when the
+codes are drawn, and codes are added until it is small enough.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from rankframe.llm.common import bounded_batches, save
 from rankframe.llm.components import components, forest
 
 THRESHOLD = 0.9
-#: Filters that a vector lists at least over all codes, and of one code; unrelated vectors in a cap.
-LISTED, PER_CODE, IN_CAP = 48, 12, 12
-#: Chance that a pair just at the threshold shares no filter, and pairs by which it is measured.
+#: Bundles that a vector is in at least, filters that it lists of one code, and vectors in a bundle, about.
+LISTED, PER_CODE, IN_BUNDLE = 2, 4, 1024
+#: Chance that a pair just at the threshold shares no bundle, and pairs by which it is measured.
 MISS, TRIALS = 0.005, 2000
-#: Most codewords of a block.
-WORDS = 4096
+#: Fewest and most codewords of a block.
+FEW_WORDS, WORDS = 16, 4096
 #: Rows of a tile of the exact comparison.
-TILE = 512
+TILE = 1024
 SEED = 11
 #: Matrix products of unit vectors are this near to their cosines.
 CLOSE = 1e-12
@@ -42,11 +43,11 @@ Code = tuple[np.ndarray, list[np.ndarray]]
 
 def code(n: int, dim: int, rng: np.random.Generator) -> Code:
     """A random rotation, and the codewords of each block, for n vectors of dim dimensions."""
-    filters = max(64.0, PER_CODE * max(1, n) / IN_CAP)
+    bundles = max(1.0, 3.0 * n / IN_BUNDLE)  # a vector's filters of a code are in about three bundles
     blocks = 2 if dim >= 8 else 1
-    while filters ** (1 / blocks) > WORDS and 4 * (blocks + 1) <= dim:
+    while bundles ** (1 / max(1, blocks - 1)) > WORDS and 4 * (blocks + 1) <= dim:
         blocks += 1
-    words = max(2, min(WORDS, math.ceil(filters ** (1 / blocks))))
+    words = min(WORDS, max(FEW_WORDS, math.ceil(bundles ** (1 / max(1, blocks - 1)))))
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     books = []
     for part in np.array_split(np.arange(dim), blocks):
@@ -85,8 +86,14 @@ def decode(x: np.ndarray, code: Code) -> np.ndarray:
     return np.concatenate(out)
 
 
+def bundled(x: np.ndarray, code: Code) -> np.ndarray:
+    """The bundles of the filters that decode() lists: their codewords but the last one; with one block, the filters."""
+    found = decode(x, code)
+    return found // len(code[1][-1]) if len(code[1]) > 1 else found
+
+
 def missed(code: Code, threshold: float, rng: np.random.Generator) -> float:
-    """Share of random pairs with that cosine that share no filter of a code."""
+    """Share of random pairs with that cosine that share no bundle of a code."""
     dim = len(code[0])
     if dim < 2 or not -1 < threshold < 1:
         return 0.0
@@ -94,7 +101,7 @@ def missed(code: Code, threshold: float, rng: np.random.Generator) -> float:
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     u -= (u * x).sum(axis=1, keepdims=True) * x
     y = threshold * x + math.sqrt(1 - threshold**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
-    return float((decode(x, code)[:, :, None] != decode(y, code)[:, None, :]).all(axis=(1, 2)).mean())
+    return float((bundled(x, code)[:, :, None] != bundled(y, code)[:, None, :]).all(axis=(1, 2)).mean())
 
 
 def codes(n: int, dim: int, threshold: float = THRESHOLD, listed: int = LISTED, seed: int = SEED) -> list[Code]:
@@ -102,18 +109,20 @@ def codes(n: int, dim: int, threshold: float = THRESHOLD, listed: int = LISTED,
     rng = np.random.default_rng(seed)
     first = code(n, dim, rng)
     lost = min(max(missed(first, threshold, rng), 1 / TRIALS), 1 - 1 / TRIALS)
-    rounds = max(1, math.ceil(listed / PER_CODE), math.ceil(math.log(MISS) / math.log(lost)))
-    if rounds * PER_CODE * IN_CAP >= n:
+    rounds = max(1, listed, math.ceil(math.log(MISS) / math.log(lost)))
+    if n <= IN_BUNDLE:
         return []
     return [first] + [code(n, dim, rng) for _ in range(rounds - 1)]
 
 
-def filters(x: np.ndarray, drawn: list[Code]) -> np.ndarray:
-    """For each unit row of x, the filters that it lists in all codes, by number; without codes, one filter for all."""
+def filters(x: np.ndarray, drawn: list[Code]) -> list[np.ndarray]:
+    """For each unit row of x, the bundles of all codes that it is in, by number, ascending; without codes, one for all."""
     if not drawn:
-        return np.zeros((len(x), 1), dtype=np.int64)
-    size = math.prod(len(b) for b in drawn[0][1])
-    return np.sort(np.concatenate([decode(x, c) + k * size for k, c in enumerate(drawn)], axis=1), axis=1)
+        return [np.zeros(1, dtype=np.int32)] * len(x)
+    books = drawn[0][1]
+    size = math.prod(len(b) for b in (books[:-1] or books))
+    found = np.concatenate([bundled(x, c) + k * size for k, c in enumerate(drawn)], axis=1).astype(np.int32)
+    return [np.unique(row) for row in found]
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -153,7 +162,7 @@ def near_duplicates(
     Vectors that are null, zero, or hold null or non-finite components link with nothing, and
     vectors of different dimensions do not link with each other. Equal vectors are compared once:
     a row's links are all other rows whose cosine, in double precision, is at least threshold.
-    Pairs of which the chance to share no filter is at most MISS at the threshold, and lower above
+    Pairs of which the chance to share no bundle is at most MISS at the threshold, and lower above
     it, may be missed; none is wrong. Repeated rows are vectors of their own. A null vec_id comes out with null component_id and
     kept, and still counts as a link of others. Other columns are ignored.
     """
@@ -197,24 +206,28 @@ def _linked(reps: DataFrame, dim: int, n: int, threshold: float, listed: int) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit_rows(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(filters(x, drawn)), pa.list_(pa.int64()))], ["id", "filters"])
-
-    lists = save(reps.select("id", "v").mapInArrow(listing, "id long, filters array<long>"), "filters")
-    passed = lists.select("id", F.explode("filters").alias("f"))
+            raw = np.array(b.column(1).to_pylist(), dtype=np.float64)
+            with np.errstate(over="ignore"):
+                short = raw.astype("<f4")
+            fits = (short == raw).all(axis=1)  # then four bytes a component say as much as eight
+            packed = [(s if f else r).tobytes() for s, r, f in zip(short, raw, fits, strict=True)]
+            found = pa.array(filters(unit_rows(raw), drawn), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary()), found], ["id", "w", "v", "filters"])
+
+    lists = save(reps.select("id", "v", "w").mapInArrow(listing, "id long, w long, v binary, filters array<int>"), "filters")
+    passed = lists.withColumn("f", F.explode("filters"))
+    # A row per bundle; a vector goes to each of its bundles once, or to each tile that its part of a full one is in.
     caps = passed.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    caps = caps.select("f", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    # A full cap is dealt into parts; each pair of parts meets in one tile.
+    caps = save(caps.select("f", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "bundles")
     dealt = passed.join(caps, "f").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
     one = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = dealt.withColumn("other", one).select("f", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id")
-    tiles = tiles.join(lists, "id").join(reps.select("id", "v", "w"), "id")
+    tiles = dealt.withColumn("other", one).select("f", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "w", "v", "filters")
 
     def compare(key, batch):
         f, i, j = (k.as_py() for k in key)
         ids, w = batch["id"].to_numpy(), batch["w"].to_numpy()
         part = batch["part"].to_numpy()
-        raw = np.stack([np.asarray(v.values) for v in batch["v"]]).astype(np.float64)
+        raw = np.stack([np.frombuffer(v, dtype="<f4" if len(v) == 4 * dim else "<f8") for v in batch["v"].to_pylist()]).astype(np.float64)
         a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
         hit = linked(raw, unit_rows(raw), a, b, threshold)
         if i == j:
@@ -223,14 +236,15 @@ def _linked(reps: DataFrame, dim: int, n: int, threshold: float, listed: int) ->
         if not len(ra):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         hit = hit[np.ix_(hit.any(axis=1), hit.any(axis=0))]
-        # A pair counts in the first of the filters that both pass.
+        # A pair counts in the first of the bundles that both are in.
         lists_ = batch["filters"]
         rows = np.unique(np.r_[ra, rb])
         before = [np.asarray(lists_[int(r)].values) for r in rows]
         before = [q[q < f] for q in before]
-        names, at = np.unique(np.concatenate(before), return_inverse=True)
-        has = np.zeros((len(rows), max(1, len(names))), dtype=np.float32)
-        has[np.repeat(np.arange(len(rows)), [len(q) for q in before]), at] = 1
+        names, at, times = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(rows)), [len(q) for q in before]), times[at] > 1
+        has = np.zeros((len(rows), max(1, int((times > 1).sum()))), dtype=np.float32)
+        has[row[shared], (np.cumsum(times > 1) - 1)[at[shared]]] = 1
         fresh = hit & ((has[np.searchsorted(rows, ra)] @ has[np.searchsorted(rows, rb)].T) == 0)
         ends = np.nonzero(hit)
         fa, fb = forest(ids[ra][ends[0]], ids[rb][ends[1]])
