@@ -35,13 +35,13 @@ from rankframe.llm.components import components, forest
 #: Sets of which a task remembers that it has posted them.
 REMEMBERED = 250_000
 #: Bits of the number of counts of n-grams, at most, and the parts in which a task sends its counts.
-MOST_COUNTS, CHUNKS = 22, 64
+MOST_COUNTS, CHUNKS = 20, 64
 #: Tables of counts that are added up in one task.
 TABLES = 256
 #: Magnitude of the rows of a column beyond which it is dealt by salt, at least.
 HOT = 16
-#: Buckets of the summary that rules pairs out before their sets are fetched.
-SKETCH = 64
+#: Fewest and most buckets of the summary that rules pairs out before their sets are fetched; in between, one for eight entries.
+SKETCH, LARGE_SKETCH = 64, 4096
 #: Members of a family that are compared in one task.
 PART = 256
 #: Members, and entries of their sets, on either side of a task that compares parts of a large family.
@@ -104,8 +104,21 @@ def bucket(s: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Entries of a set per bucket of columns, up to 255. The sum of differences is a lower bound of the sets'."""
-    return np.minimum(np.bincount((s >> U(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """Entries of a set per bucket of columns, up to 255. The sum of differences is a lower bound of the sets'.
+
+    The number of buckets is a power of two that grows with the set: sets of unrelated texts differ by the root
+    of entries times buckets, which has to be more than what linked ones of that size may differ by.
+    """
+    size = SKETCH
+    while 8 * size < len(s) and size < LARGE_SKETCH:
+        size *= 2
+    return np.minimum(np.bincount((s >> U(40)).astype(np.int64) % size, minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Summaries as rows of one number of buckets, that of the smallest: buckets that agree modulo it are added up."""
+    size = min(map(len, sketches))
+    return np.stack([np.frombuffer(x, dtype=np.uint8).reshape(-1, size).sum(axis=0, dtype=np.int32) for x in sketches])
 
 
 def product(sets: list[np.ndarray], num: int, den: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +331,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     def sift(key, batch):
         """Members that the summaries leave a partner."""
         n = batch["n"].to_numpy().astype(np.int64)
-        x = np.frombuffer(b"".join(batch["sketch"].to_pylist()), dtype=np.uint8).reshape(len(n), SKETCH).astype(np.int16)
+        x = folded(batch["sketch"].to_pylist())
         keep = np.zeros(len(n), dtype=bool)
         for i in range(len(n) - 1):
             gap = np.abs(x[i + 1 :] - x[i]).sum(axis=1, dtype=np.int64)
