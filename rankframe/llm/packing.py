@@ -25,7 +25,7 @@ WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
 #: Words kept with their ids by each Python worker, in each of two generations.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
 #: Characters of punctuation that a word may end with; an apostrophe may belong to a token with letters.
 TAIL = b"*#$%&|!?,.;:"
 #: Lengths tried as second piece beside each first one.
