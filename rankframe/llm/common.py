@@ -87,6 +87,11 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are done: it does so once the driver has collected their plans as garbage."""
+    spark._jvm.java.lang.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold at most BATCH_ROWS rows, as a few long texts fill the memory.
 

@@ -7,7 +7,7 @@ cannot reach the bound that its sizes give.
 The first block of columns of a document is the rarest of its n-grams: a set of a n-grams links at similarity t only
 if it shares ceil(t a) of them, so two sets that link have an entry of the product in the first a - ceil(t a) + 1
 columns of both, in whatever order all columns are taken. Rare columns come first, by the counts of all n-grams of
-all documents in a table of fixed size, so that what many documents have in common (a line, a passage) brings few
+all documents in a table that grows with them, so that what many documents have in common (a line, a passage) brings few
 pairs together. A column's documents of about one size make a block of rows, a family, around the least of them;
 overlaps are accumulated for the pairs of a family, whichever column brought them together.
 
@@ -20,6 +20,7 @@ linked, without listing all pairs of a group.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import bounded_batches, save, trim, whole_rows
+from rankframe.llm.common import bounded_batches, drop, release, save, save_at, trim, whole_rows
 from rankframe.llm.components import components, forest
 
 #: Sets of which a task remembers that it has posted them.
 REMEMBERED = 250_000
 #: Bits of the number of counts of n-grams, at most, and the parts in which a task sends its counts.
-MOST_COUNTS, CHUNKS = 20, 64
+MOST_COUNTS, CHUNKS = 24, 64
+#: Levels of a count within a binary magnitude, as bits. Where a count holds many n-grams, common ones still stand out.
+FINE = 3
 #: Tables of counts that are added up in one task.
 TABLES = 256
 #: Magnitude of the rows of a column beyond which it is dealt by salt, at least.
@@ -90,9 +93,15 @@ class Bands:
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
 
-def rarest(s: np.ndarray, magnitudes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first columns of a set in the order of (magnitude of their count, name), as many as a link needs, and their magnitudes."""
-    seen = magnitudes[bucket(s, len(magnitudes))]
+def level(total: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale: level >> FINE is the binary magnitude, up to 31; equal counts have equal levels, larger ones none that are lower."""
+    m, e = np.frexp(total.astype(np.float64))
+    return np.minimum((e.astype(np.int64) << FINE) + ((2 * m - 1) * (1 << FINE)).astype(np.int64) * (total > 0), 255).astype(np.uint8)
+
+
+def rarest(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first columns of a set in the order of (level of their count, name), as many as a link needs, and their levels."""
+    seen = levels[bucket(s, len(levels))]
     order = np.lexsort((_mix(s), seen))
     first = order[: len(s) + 1 - -(-num * len(s) // den)]
     return s[first], seen[first]
@@ -161,16 +170,16 @@ def product(sets: list[np.ndarray], num: int, den: int, rows: np.ndarray | None
 
 
 def _profiles(src: DataFrame, words: int, seed: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, set, more, sketch of each row, and the binary magnitude of how many rows hold n-grams of each bucket.
+    """doc_id, n, set, more, sketch of each row, and the level of how many rows hold n-grams of each bucket.
 
-    Tasks count in tables of their own, up to 255 in a byte, which they send in CHUNKS parts after their rows; those of up
+    Tasks count in tables of their own, up to 255 in a byte, which they send in CHUNKS packed parts after their rows; those of up
     to TABLES tasks are added up first, and then what that makes. The counts only order the columns: results do not depend on them.
     """
     rows = src.count()
     size = 1 << min(MOST_COUNTS, max(12, (64 * rows).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, dtype=np.uint32)
+        counts = np.zeros(size, dtype=np.uint16)
         for b in batches:
             n, names, more, sketches, buckets = [], [], [], [], [np.zeros(0, dtype=np.int64)]
             for t in b.column(1):
@@ -181,10 +190,12 @@ def _profiles(src: DataFrame, words: int, seed: int) -> tuple[DataFrame, np.ndar
                 names.append((d & (2**64 - 1)) - 2**63 if len(s) else None)
                 more.append((d >> 64) - 2**63 if len(s) else None)
                 sketches.append(sketch(s) if len(s) else None)
-            np.add.at(counts, np.concatenate(buckets), np.uint32(1))
+            touched = np.concatenate(buckets)
+            np.add.at(counts, touched, np.uint16(1))
+            counts[touched] = np.minimum(counts[touched], 255)
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(more, pa.int64()), pa.array(sketches, pa.binary()), *none], names_)
-        parts = [x.tobytes() for x in np.split(np.minimum(counts, 255).astype(np.uint8), CHUNKS)] if counts.any() else []
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts.astype(np.uint8), CHUNKS)] if counts.any() else []
         none = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names_)
         trim()
@@ -194,27 +205,27 @@ def _profiles(src: DataFrame, words: int, seed: int) -> tuple[DataFrame, np.ndar
     made = save(src.select("doc_id", "text").mapInArrow(run, schema), "profiles")
 
     tables = made.where("chunk is not null").select("chunk", "counts")
-    magnitudes = np.zeros(size, dtype=np.uint8)
+    levels = np.zeros(size, dtype=np.uint8)
     bins = -(-tables.count() // (CHUNKS * TABLES))
     tables = tables.withColumn("bin", F.pmod(F.xxhash64("counts"), F.lit(max(1, bins))))
     tables = tables.groupBy("chunk", "bin").applyInArrow(_adder("u1", "<u4"), "chunk int, counts binary")
-    tables = tables.groupBy("chunk").applyInArrow(_adder("<u4", "<u8", magnitudes=True), "chunk int, counts binary")
+    tables = tables.groupBy("chunk").applyInArrow(_adder("<u4", "<u8", last=True), "chunk int, counts binary")
     for chunk, raw in tables.collect():  # CHUNKS rows
         at = chunk * (size // CHUNKS)
-        magnitudes[at : at + size // CHUNKS] = np.frombuffer(raw, dtype=np.uint8)
-    return made.where("chunk is null").drop("chunk", "counts"), magnitudes
+        levels[at : at + size // CHUNKS] = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+    return made.where("chunk is null").drop("chunk", "counts"), levels
 
 
-def _adder(kind: str, total_kind: str, magnitudes: bool = False):
-    """Add up tables of one kind of numbers to another, or to the binary magnitudes of the sums."""
+def _adder(kind: str, total_kind: str, last: bool = False):
+    """Add up packed tables of one kind of numbers to another, or to the levels of the sums."""
 
     def run(key, batch):
-        total = np.zeros(len(batch["counts"][0].as_py()) // np.dtype(kind).itemsize, dtype=total_kind)
+        total = np.zeros(1, dtype=total_kind)
         for x in batch["counts"]:
-            total += np.frombuffer(x.as_py(), dtype=kind)
-        if magnitudes:
-            total = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), dtype=kind)
+        if last:
+            total = level(total)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     return run
 
@@ -273,7 +284,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     spark, bands = src.sparkSession, Bands(num, den)
     bounded_batches(spark)
     for seed in range(8):
-        known, magnitudes = _profiles(src, words, seed)
+        known, levels = _profiles(src, words, seed)
         sets = known.where("`set` is not null and doc_id is not null").groupBy("set").agg(
             F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.min("more").alias("more"), F.max("more").alias("most")
         )
@@ -282,7 +293,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
             break  # else two sets share a name: take other names
 
     # Magnitude m: up to 2^m rows hold n-grams of the bucket. Hot is what has many, and far more than most.
-    hot = max(HOT, int(np.median(magnitudes)) + 3)
+    hot = max(HOT, int(np.median(levels >> FINE)) + 3)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies in one task are posted once; a third of all rows may be copies
@@ -297,7 +308,8 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
                     continue
                 if len(done) < REMEMBERED:
                     done.add(name)
-                key, seen = rarest(s, magnitudes, num, den)
+                key, seen = rarest(s, levels, num, den)
+                seen = seen >> FINE
                 keys.append(key.view(np.int64))
                 salts.append(np.where(seen > hot, 1 + name % (1 << np.minimum(np.maximum(seen.astype(np.int64) - hot, 0), 24)), 0).astype(np.int32))
                 names.append(np.full(len(key), name, dtype=np.int64))
@@ -311,7 +323,8 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     near_bands = lambda w, col: (F.min(col).over(w.rangeBetween(0, 1)), F.min(col).over(w.rangeBetween(-1, 0)))
     up, down = near_bands(Window.partitionBy("key", "salt").orderBy("band"), "set")
     both = posted.withColumn("up", up).withColumn("down", down).where("salt > 0 or `set` <> up or `set` <> down")
-    both = save(both, "columns")
+    both, columns = save_at(both, "columns")
+    release(spark)
     # A column of more than so many documents is dealt by salt; its least sets are found by aggregation.
     least = both.where("salt > 0").groupBy("key", "band").agg(F.min("set").alias("m"))
     up, down = near_bands(Window.partitionBy("key").orderBy("band"), "m")
@@ -320,6 +333,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     pairs = both.where("salt = 0").select("set", "up", "down").unionByName(many.select("set", "up", "down"))
     pairs = pairs.select("set", F.explode(F.array("up", "down")).alias("head")).where("`set` <> head").select("head", "set").distinct()
     pairs = save(pairs, "pairs")
+    drop(spark, columns)
     size = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("m")).select("head", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     size = save(size, "families")
     # The least member is in each part of its family.
@@ -342,6 +356,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
 
     near = tiles.groupBy("head", "part").applyInArrow(sift, "head long, part int, set long")
     near = save(near, "near")
+    release(spark)
     tiles_of = save(_merged(near), "tiles")
     wanted = tiles_of.select("set").distinct()
     # Where a family is in parts, any member may meet one of another part: all of them are fetched.
@@ -349,6 +364,7 @@ def _links(src: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     far = large.select("set").union(size.where("parts > 1").select("head")).distinct()
     wanted = save(wanted.union(far).distinct().join(sets.select("set", F.col("doc_id").alias("holder")), "set"), "wanted")
     full = save(_fetch(src, wanted, words, seed), "fetched")
+    release(spark)
 
     def overlap(key, batch):
         names, first = np.unique(batch["set"].to_numpy(), return_index=True)

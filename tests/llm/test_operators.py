@@ -499,3 +499,18 @@ def test_pipeline(spark):
         assert at.columns == docs.columns
         assert dict(at.dtypes) == dict(docs.dtypes)
     assert p.run(spark, SF).count() > 0
+
+
+def test_counts_of_ngrams_tell_common_ones_in_full_tables(spark):
+    """A table that grows with the rows, and levels that tell 130 from 200, of one binary magnitude."""
+    n = np.arange(1, 1 << 20)
+    got = ngram_join.level(n)
+    assert (np.diff(got.astype(int)) >= 0).all() and (got >> ngram_join.FINE == np.frexp(n.astype(float))[1]).all() and ngram_join.level(np.zeros(1))[0] == 0
+    assert ngram_join.level(np.array([130]))[0] < ngram_join.level(np.array([200]))[0]
+    assert 1 << ngram_join.MOST_COUNTS > 1 << 22
+    rows = [(i, f"every text has this w{i}") for i in range(300)]
+    levels = ngram_join._profiles(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 0)[1]
+    want = np.zeros(len(levels), dtype=np.int64)
+    for _, t in rows:
+        np.add.at(want, ngram_join.bucket(ngram_join.shingle_set(t, 3), len(levels)), 1)
+    assert (levels == ngram_join.level(want)).all()
