@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from rankframe.operators.order import grouped_positions
+from rankframe.sources.shared import save
+
+#: Senders of a block, receivers that meet one in a task, and pairs made in a task, about.
+BLOCK, RECEIVERS, PAIRS = 1024, 4096, 1 << 24
 
 #: Names of the algorithms that a caller may ask for; they differ in messages, not in results.
 METHODS = ("allgather", "binary", "nary", "pex", "pcx", "rsx", "nbx", "ranges", "superset")
@@ -62,6 +66,31 @@ def superset(edges: DataFrame, candidates: Callable[[DataFrame], DataFrame], src
     return known.join(pairs.withColumn("__sent", F.lit(True)), ["dst", "src"], "left").select("dst", "src", F.coalesce("__sent", F.lit(False)).alias("sends"))
 
 
+def superset_by_key(edges: DataFrame, key: Callable[[Column], Column], src: str = "src", dst: str = "dst") -> DataFrame:
+    """superset() where a receiver's candidates are all senders of its key, and those that send to it.
+
+    What meets is receivers and blocks of a key's senders, an array each, so pairs are made last and are never shuffled.
+    """
+    pairs = save(edges.select(F.col(dst).alias("dst"), F.col(src).alias("src")).distinct(), "pairs")
+    senders = pairs.select("src").distinct().withColumn("k", key(F.col("src"))).where("k is not null")
+    senders = save(grouped_positions(senders, ["k"], "src", [], "no").select("k", "src", F.expr(f"no div {BLOCK}L").alias("block")), "senders")
+    receivers = save(pairs.select("dst").distinct().withColumn("k", key(F.col("dst"))), "receivers")
+    per = receivers.groupBy("k").agg(F.count(F.lit(1)).alias("m")).join(senders.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("last")), "k")
+    per = save(per.withColumn("parts", F.ceil(F.col("m") / RECEIVERS).cast("int")), "keys")
+    total = per.agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0))).first()[0]
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS))
+    blocks = senders.groupBy("k", "block").agg(F.collect_list("src").alias("srcs")).join(per.select("k", "parts"), "k")
+    blocks = blocks.select("k", "block", "srcs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = receivers.join(per.select("k", "last", "parts"), "k").select("dst", "k", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
+    sent = pairs.join(senders, "src").where(key(F.col("dst")) == F.col("k")).groupBy("dst", "block").agg(F.collect_list("src").alias("sent"))
+    asked = asked.join(sent, ["dst", "block"], "left")
+    at = ["k", "block", "part"]
+    met = asked.repartition(tasks, *at).join(blocks.repartition(tasks, *at), at)
+    silent = F.when(F.col("sent").isNull(), F.col("srcs")).otherwise(F.array_except("srcs", "sent"))
+    heard = pairs.select("dst", "src", (F.col("dst").isNotNull() & F.col("src").isNotNull()).alias("sends"))
+    return heard.unionByName(met.select("dst", F.explode(silent).alias("src"), F.lit(False).alias("sends")))
+
+
 def encode(edges: DataFrame, src: str = "src", dst: str = "dst", payload: str = "payload") -> DataFrame:
     """(src, record_no, record): each message as the integers (to, 1, from, payload), in the order of receivers."""
     got = grouped_positions(edges.select(src, dst, payload), [src], dst, [], "record_no")

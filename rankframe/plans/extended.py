@@ -225,11 +225,7 @@ def notify_decode(spark, sf):
 
 @_query(f"WITH e AS (SELECT DISTINCT dst, src FROM {_EDGES}), s AS (SELECT DISTINCT dst, x.src FROM e, (SELECT DISTINCT src FROM e) x WHERE x.src % 10 = dst % 10 OR (dst, x.src) IN (SELECT dst, src FROM e)) SELECT dst, src, (dst, src) IN (SELECT dst, src FROM e) AS sends FROM s")
 def notify_superset(spark, sf):
-    def near(pairs):
-        srcs = pairs.select("src", (F.col("src") % 10).alias("k")).distinct()
-        return pairs.select("dst", (F.col("dst") % 10).alias("k")).distinct().join(srcs, "k").select("dst", "src").union(pairs)
-
-    return exchange.superset(_edges(spark, sf), near)
+    return exchange.superset_by_key(_edges(spark, sf), lambda c: c % 10)
 
 
 @_query("""WITH s AS (SELECT user_id AS src, event_type AS dst, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),

@@ -103,6 +103,16 @@ def test_wide_intervals_cost_their_ranks(spark):
     assert per == {0: 2, 5: 1, 6: 0, 10**12: 0}
 
 
+def test_superset_by_key(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "BLOCK", 3)
+    monkeypatch.setattr(exchange, "RECEIVERS", 2)
+    e = [(s, d) for s in range(25) for d in range(30) if (s * d) % 7 == 1] * 2
+    got = exchange.superset_by_key(spark.createDataFrame(e, "src long, dst long"), lambda c: c % 2)
+    srcs, dsts = {s for s, _ in e}, {d for _, d in e}
+    want = sorted((d, s, (s, d) in set(e)) for s in srcs for d in dsts if s % 2 == d % 2 or (s, d) in set(e))
+    assert sorted(tuple(x) for x in got.collect()) == want
+
+
 def test_exchange(spark):
     e = spark.createDataFrame([(s, d, 10 * s + d) for s in range(6) for d in range(4) if (s + d) % 3], "src long, dst long, payload long")
     want = {d: [s for s in range(6) if (s + d) % 3] for d in range(4)}
