@@ -103,6 +103,20 @@ def test_wide_intervals_cost_their_ranks(spark):
     assert per == {0: 2, 5: 1, 6: 0, 10**12: 0}
 
 
+def test_decode_makes_pairs_last(spark, monkeypatch):
+    """Overlapping intervals over many blocks, some of many pieces; what is made of pairs is not shuffled again."""
+    monkeypatch.setattr(ranges, "BLOCK", 4)
+    monkeypatch.setattr(ranges, "PIECES", 3)
+    r = [(s, lo, lo + 7 * k) for s in range(0, 40, 3) for k, lo in enumerate((s % 5, 10, 12, 60))] + [(100, 0, 200), (None, 0, 9), (1, None, 5)]
+    have = list(range(0, 90, 2)) + [3, 100]
+    ranks = spark.createDataFrame([(x,) for x in have] + [(None,)], "rank long")
+    got = ranges.decode(spark.createDataFrame(r, "rank long, lo long, hi long"), ranks)
+    want = sorted({(s, d) for s, lo, hi in r if None not in (s, lo) for d in have if lo <= d <= hi and d != s})
+    assert sorted(tuple(x) for x in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")] and "Aggregate" not in plan[: plan.index("Generate")]
+
+
 def test_superset_by_key(spark, monkeypatch):
     monkeypatch.setattr(exchange, "BLOCK", 3)
     monkeypatch.setattr(exchange, "RECEIVERS", 2)
