@@ -117,6 +117,22 @@ def test_decode_makes_pairs_last(spark, monkeypatch):
     assert "Join" not in plan[: plan.index("Generate")] and "Aggregate" not in plan[: plan.index("Generate")]
 
 
+@pytest.mark.parametrize("name", ["uncovered", "uncovered_statistics"])
+def test_uncovered_is_counted_not_listed(spark, monkeypatch, name):
+    monkeypatch.setattr(ranges, "decode", None)
+    monkeypatch.setattr(ranges, "BLOCK", 4)
+    r = [(s, lo, lo + 7 * k) for s in range(0, 40, 3) for k, lo in enumerate((s % 5, 10, 12, 60))] + [(100, 0, 200)]
+    have = list(range(0, 90, 2)) + [3, 100]
+    peers = [(s, d) for s in range(0, 101, 5) for d in range(s % 4, 100, 3)] * 2
+    ranks = spark.createDataFrame([(x,) for x in have], "rank long")
+    got = getattr(ranges, name)(spark.createDataFrame(r, "rank long, lo long, hi long"), spark.createDataFrame(peers, "rank long, peer long"), ranks)
+    want = {s: len({d for x, lo, hi in r if x == s for d in have if lo <= d <= hi and d != s and (s, d) not in set(peers)}) for s in have}
+    if name == "uncovered":
+        assert {x["rank"]: x["n"] for x in got.collect()} == want
+    else:
+        assert [(x["n"], x["total"], x["least"], x["greatest"]) for x in got.collect()] == [(len(want), sum(want.values()), min(want.values()), max(want.values()))]
+
+
 def test_superset_by_key(spark, monkeypatch):
     monkeypatch.setattr(exchange, "BLOCK", 3)
     monkeypatch.setattr(exchange, "RECEIVERS", 2)
