@@ -10,12 +10,15 @@ pieces of its length.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +27,17 @@ from rankframe.llm.common import bounded_batches, rank_bits, save, spread_rank,
 WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
-#: Words kept with their ids by each Python worker, in each of two generations.
+#: Words, and parts of words, kept with their ids by each Python worker, in each of two generations.
 CACHE_WORDS = 150_000
 #: Characters of punctuation that a word may end with; an apostrophe may belong to a token with letters.
 TAIL = b"*#$%&|!?,.;:"
+#: How letters are split off.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The end of the letters that go to the model at once (of ASCII, Latin-1 and Latin Extended-A), none of which takes part in a normal form, and the bytes of words of them.
+LATIN = 0x180
+LATIN_BYTES = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC2, 0xC6)])
+#: Bytes of texts that are tokenized together.
+TOGETHER = 4 << 20
 #: Lengths tried as second piece beside each first one.
 PARTNERS = 12
 #: Rounds of the fit at most, what a window of padding costs in it, and the repeat count from which a combination is taken.
@@ -46,10 +56,49 @@ def _tokenizer(path: str):
         tok = Tokenizer.from_file(path)
         mark = tok.encode("\x01", add_special_tokens=False).ids
         kept |= {"tokenizer": tok, "mark": mark[0] if len(mark) == 1 else None, "words": {}, "old": {}}
+        kept |= {"model": tok.model, "letters": _letters(path), "raw": [i.to_bytes(4, "little") for i in range(tok.get_vocab_size())]}
     return kept
 
 
+def _letters(path: str) -> dict[int, str] | None:
+    """Where a word of Latin letters is one string to the model: each letter as the model has it. Else None.
+
+    So it is if text is brought to normal form and lower case, runs of letters are split off, and bytes are written as characters.
+    """
+    spec = json.loads(Path(path).read_text())
+    normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    plain = normal == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+    plain = plain and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": LETTER_RUNS} and (pre[0]["behavior"], pre[0]["invert"]) == ("Removed", True)
+    if not plain or pre[1]["add_prefix_space"] or pre[1]["use_regex"] or spec["post_processor"]:
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; others follow from U+0100
+    chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+    return {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0x80, LATIN)}
+
+
 def _encode(words: list[bytes], kept: dict) -> list[bytes]:
+    """The ids of each word: of one of Latin letters from the model at once, else by _encode_any()."""
+    letters, raw, model = kept["letters"], kept["raw"], kept["model"].tokenize
+    if letters is None:
+        return _encode_any(words, kept)
+    out, others = [], []
+    for i, w in enumerate(words):
+        if w.isalpha():  # of ASCII
+            s = w.decode().lower()
+        elif w.isascii() or w.translate(None, LATIN_BYTES) or not (s := w.decode().lower()).isalpha():
+            out.append(b"")
+            others.append(i)
+            continue
+        else:
+            s = s.translate(letters)
+        out.append(b"".join([raw[t.id] for t in model(s)]))
+    for i, ids in zip(others, _encode_any([words[i] for i in others], kept), strict=True):
+        out[i] = ids
+    return out
+
+
+def _encode_any(words: list[bytes], kept: dict) -> list[bytes]:
     """The ids of each word, from one text in which a control character stands between the words."""
     tok, mark = kept["tokenizer"], kept["mark"]
     out: list[bytes] = [b""] * len(words)
@@ -76,6 +125,22 @@ def _tail(word: bytes) -> int:
     return len(stem) if plain else 0
 
 
+def _split(texts: list) -> tuple[list[bytes], np.ndarray, list[int]]:
+    """The distinct words of texts, the number of each word of the texts among them, and where each text's words begin, and the last's end.
+
+    Arrow does so without an object for each word. An empty word stands before and after outer white space.
+    """
+    raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts]
+    raw = [t if b"<|" in t else t.lower() for t in raw]  # special tokens depend on case
+    split = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).view(pa.large_string()))
+    coded = split.values.dictionary_encode()
+    words = coded.dictionary.view(pa.large_binary())
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, dtype="<i8", count=len(words) + 1).tolist() if len(words) else [0]
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], coded.indices.to_numpy(), split.offsets.to_pylist()
+
+
 def token_bytes(texts: list, path: str, cache_words: int = CACHE_WORDS) -> list[bytes]:
     """The ids of each text (a string, or its bytes in UTF-8), without END_ID, as little-endian unsigned 32-bit integers.
 
@@ -84,32 +149,28 @@ def token_bytes(texts: list, path: str, cache_words: int = CACHE_WORDS) -> list[
     once for as long as it stays in the worker's cache.
     """
     kept = _tokenizer(path)
-    split = []
-    for t in texts:
-        raw = t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace")
-        split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens depend on case
-    get = kept["words"].get
-    found = [list(map(get, ws)) for ws in split]
-    todo = [i for i, ids in enumerate(found) if None in ids]
-    new = {w for i in todo for w, ids in zip(split[i], found[i], strict=True) if ids is None}
+    distinct, codes, ends = _split(texts)
+    found = list(map(kept["words"].get, distinct))
+    new = {w for w, ids in zip(distinct, found, strict=True) if ids is None}
     if len(kept["words"]) + len(new) > cache_words:  # the next generation begins with the words of this batch that are new
         kept["old"], kept["words"] = kept["words"], {}
     words, old = kept["words"], kept["old"]
     cuts = {w: c for w in new if (c := _tail(w))} if kept["mark"] is not None else {}
-    parts = new.difference(cuts)
+    new.difference_update(cuts)
     for w, c in cuts.items():
-        parts.add(w[:c])
-        parts.add(w[c:])
-    parts.difference_update(words)
-    known = parts.intersection(old)
+        new.add(w[:c])
+        new.add(w[c:])
+    new.difference_update(words)
+    known = new.intersection(old)
     words.update(zip(known, map(old.__getitem__, known), strict=True))
-    fresh = list(parts.difference(known))
+    fresh = list(new.difference(known))
     words.update(zip(fresh, _encode(fresh, kept), strict=True))
-    for w, c in cuts.items():
-        words[w] = words[w[:c]] + words[w[c:]]
-    for i in todo:
-        found[i] = [words[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-    return [b"".join(ids) for ids in found]
+    for i, ids in enumerate(found):
+        if ids is None:
+            w = distinct[i]
+            c = cuts.get(w)
+            found[i] = words[w[:c]] + words[w[c:]] if c else words[w]
+    return [b"".join(map(found.__getitem__, codes[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def pieces(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -237,6 +298,18 @@ def fitted(counts: np.ndarray, window: int = WINDOW) -> list[tuple[Combination,
     return out + largest_fit(left, window)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to TOGETHER bytes, or a batch more: what they hold twice is looked up once."""
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        some.append(b)
+        if sum(x.nbytes for x in some) >= TOGETHER:
+            yield pa.Table.from_batches(some)
+            some = []
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def cut(
     df: DataFrame, tokenizer: str, text: str, doc_id: str, window: int = WINDOW, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
@@ -246,14 +319,14 @@ def cut(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()  # what earlier stages left in this worker
-        for b in batches:
+        for b in _gathered(batches):
             keys, rows = [], []
-            for i, ids in enumerate(token_bytes(b.column(1).cast(pa.binary()).to_pylist(), tokenizer, cache_words)):
+            for i, ids in enumerate(token_bytes(b.column(1).cast(pa.large_binary()).to_pylist(), tokenizer, cache_words)):
                 found = pieces(ids + end, window)
                 keys += [i] * len(found)
                 rows += [(*p, len(ids) // 4 + 1) for p in found]
             cols = [pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
-            ids_ = b.column(0).take(pa.array(keys, type=pa.int64()))
+            ids_ = b.column(0).combine_chunks().take(pa.array(keys, type=pa.int64()))
             yield pa.RecordBatch.from_arrays([ids_, *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     src = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__text"))

@@ -8,10 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rankframe.llm import (
+    common,
     components,
     embedding_dedup,
     html_extract,
@@ -514,3 +516,29 @@ def test_counts_of_ngrams_tell_common_ones_in_full_tables(spark):
     for _, t in rows:
         np.add.at(want, ngram_join.bucket(ngram_join.shingle_set(t, 3), len(levels)), 1)
     assert (levels == ngram_join.level(want)).all()
+
+
+def test_words_of_latin_letters_go_to_the_model_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    common._caches.clear()
+    words = ["Straße", "über", "ÉCOLE", "łódź", "Ångström", "naïve", "unbelievable", "a", "ŒUVRE"]
+    texts = [" ".join(words), "über, (école) naïve!\x0bA", " outer  space\t", *words]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    odd = ["İI", "ſK", "Σς", "e\u0301a", "it's", "x1", "ǅ", "<|endoftext|>", ""]
+    for t in (*odd, *(f"a{chr(c)}b" for c in range(256) if chr(c) not in "\x1c\x1d\x1e\x1f\x85\xa0")):
+        assert packing.token_bytes([t], path) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert packing.token_bytes(texts, path) == want
+    common._caches.clear()
+    monkeypatch.setattr(packing, "_encode_any", lambda words, kept: [b""] * len(words) if not any(words) else 1 / 0)
+    assert packing.token_bytes([" ".join(words)], path) == want[:1]
+
+
+def test_packing_puts_batches_together(monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 200)
+    batches = [pa.record_batch({"id": [2 * i, 2 * i + 1], "text": ["x" * 30, "y"]}) for i in range(9)]
+    got = list(packing._gathered(iter(batches)))
+    assert 1 < len(got) < 9 and pa.concat_tables(got) == pa.Table.from_batches(batches)
+    assert list(packing._gathered(iter([]))) == []
