@@ -130,6 +130,20 @@ def test_components(spark):
     assert len(got) == len(part)
 
 
+@pytest.mark.parametrize(("together", "alone"), [(1, -1), (1, 1 << 18), (50, -1), (1 << 18, 1 << 18)])
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch, together, alone):
+    monkeypatch.setattr(components, "TOGETHER", together)
+    monkeypatch.setattr(components, "ALONE", alone)
+    written = []
+    monkeypatch.setattr(components, "save_at", lambda df, tag, kept=components.save_at: written.append(tag) or kept(df, tag))
+    links = [(i + 1, i) for i in range(60)] + [(200, 30), (200, 300), (7, 7), (None, 5), (5, None), (900, 800), (800, 900)]
+    want = {**{i: 0 for i in (*range(61), 200, 300)}, 800: 800, 900: 800}
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert len(got) == len(want) and {x["node"]: x["root"] for x in got} == want
+    assert len(written) == 2 if alone > 0 else len(written) > 5  # few links need no rounds, each of four shuffles
+    assert components.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
 def test_embedding_dedup(spark):
     r = np.random.default_rng(4)
     x = r.standard_normal((300, 24))
