@@ -248,10 +248,19 @@ def maybe_in(words: np.ndarray, bits: int, column: str):
     """A boolean column: false only for integers that are not in the bitmap."""
     @F.pandas_udf("boolean")
     def test(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy(np.int64)
-        return pd.Series((words[b // 32] >> (b % 32)) & 1 == 1)
+        return pd.Series(_is_set(words, bit.to_numpy(np.int64)))
 
-    return test(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)))
+    return test(_bit(bits, column))
+
+
+def _bit(bits: int, column: str):
+    """The bit of a bitmap that stands for a column's integer."""
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+
+
+def _is_set(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Which of these bits of a bitmap are set."""
+    return (words[bit // 32] >> (bit % 32)) & 1 == 1
 
 
 def jaccard_components(
@@ -429,13 +438,18 @@ def _merged(near: DataFrame) -> DataFrame:
 
 
 def _fetch(src: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
-    """(set, columns) of the wanted sets, from the texts of their documents."""
-    bits, n = bitmap(wanted, "holder")
+    """(set, columns) of the wanted sets, from the texts of their documents.
+
+    The bitmap is asked where the sets are made: a step of its own would need a second Python worker for each task, and
+    idle workers are taken in turn, so that all of them would fill in later stages.
+    """
+    held, n = bitmap(wanted, "holder")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()  # a row may be repeated any number of times
         for b in batches:
             ids, names, columns = [], [], []
+            b = b.filter(pa.array(_is_set(held, b.column(2).to_numpy())))
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingle_set(t.as_py(), words)
                 if not len(s):
@@ -451,7 +465,7 @@ def _fetch(src: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(columns, pa.binary())], ["holder", "set", "columns"])
         trim()
 
-    some = src.where("doc_id is not null").where(maybe_in(bits, n, "doc_id")).select("doc_id", "text")
+    some = src.where("doc_id is not null").select("doc_id", "text", _bit(n, "doc_id").alias("bit"))
     made = some.mapInArrow(run, "holder long, set long, columns binary")
     # A set comes from the document that holds it first, so once from each task that has a copy of that row.
     return made.join(wanted, ["holder", "set"], "left_semi").select("set", "columns")

@@ -357,9 +357,9 @@ def pack(
             taken[v] += n * k
             at += v * k
         sequence += n
-    table = df.sparkSession.createDataFrame(
-        slots, "length long, __from long, __to long, __times long, __sequence long, __at long"
-    )
+    # As an Arrow table, since Spark starts Python workers of another kind beside the others to read rows of a list.
+    names = ["length", "__from", "__to", "__times", "__sequence", "__at"]
+    table = df.sparkSession.createDataFrame(pa.table([pa.array([s[i] for s in slots], pa.int64()) for i in range(len(names))], names))
     ranked = spread_rank(cut_, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "__rank", rank_bits(int(counts.sum())))
     here = (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     # Spark knows the size of the plan, which follows from the window, and broadcasts it if it is small.

@@ -556,3 +556,19 @@ def test_packing_puts_batches_together(monkeypatch):
     got = list(packing._gathered(iter(batches)))
     assert 1 < len(got) < 9 and pa.concat_tables(got) == pa.Table.from_batches(batches)
     assert list(packing._gathered(iter([]))) == []
+
+
+def test_fetching_sets_takes_one_python_worker_a_task(spark):
+    rows = [(i, prose(700 + i, 30)) for i in range(300)] + [(7, prose(707, 30)), (None, prose(707, 30)), (301, None)]
+    name = lambda t: (ngram_join.xxhash.xxh3_128_intdigest(ngram_join.shingle_set(t, 3).tobytes(), 0) & (2**64 - 1)) - 2**63
+    wanted = [(name(t), i) for i, t in rows[:300:20]]
+    got = ngram_join._fetch(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(wanted, "set long, holder long"), 3, 0)
+    assert len(re.findall("ArrowEvalPython|MapInArrow", got._jdf.queryExecution().executedPlan().toString())) == 1
+    assert {(r["set"], bytes(r["columns"])) for r in got.collect()} == {(name(t), ngram_join.shingle_set(t, 3).tobytes()) for _, t in rows[:300:20]}
+
+
+def test_packing_starts_no_other_kind_of_python_workers(spark, odd):
+    for df in (odd, odd.limit(0)):
+        got = packing.pack(df, queries.tokenizer_path())
+        assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()  # rows of a list come through a Python worker
+        assert got.count() == packing.cut(df, queries.tokenizer_path(), "text", "doc_id").count()
