@@ -133,6 +133,41 @@ def test_uncovered_is_counted_not_listed(spark, monkeypatch, name):
         assert [(x["n"], x["total"], x["least"], x["greatest"]) for x in got.collect()] == [(len(want), sum(want.values()), min(want.values()), max(want.values()))]
 
 
+def test_decode_reads_intervals_once(spark, monkeypatch):
+    """Their plan, which may be long, is run once; intervals with and without gaps among the ranks, cut at blocks, and the widest."""
+    monkeypatch.setattr(ranges, "BLOCK", 4)
+    monkeypatch.setattr(ranges, "PIECES", 3)
+    least, most = -(2**63), 2**63 - 1
+    r = [(0, 0, 30), (1, 3, 9), (1, 9, 20), (2, 35, 60), (3, 8, 8), (4, 70, 65), (5, least, most), (6, most, most), (7, least, least), (8, 31, 33)]
+    have = [least, *range(31), *range(40, 60, 3), most]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x: int) -> int:
+        seen.add(1)
+        return x
+
+    kept = spark.createDataFrame(r, "src long, lo long, hi long").select(F.udf(count, "long").asNondeterministic()("src").alias("rank"), "lo", "hi")
+    got = sorted(tuple(x) for x in ranges.decode(kept, spark.createDataFrame([(x,) for x in have * 2], "rank long")).collect())
+    assert got == sorted({(s, d) for s, lo, hi in r for d in have if lo <= d <= hi and d != s})
+    assert seen.value <= len(r)
+
+
+def test_cover_of_repeated_peers(spark):
+    """Peers in any number of copies, the rank itself, nulls, equal gaps; one shuffle."""
+    rows = [(1, 5), (1, 5), (1, 1), (1, 6), (1, 9), (1, 12), (1, 9), (2, 2), (3, 4), (3, 4), (3, None), (None, 7), (4, -3), (4, 10), (4, 11), (4, -9)]
+    peers = spark.createDataFrame(rows, "rank long, peer long")
+    for n in (0, 1, 2, 3, 9):
+        want = []
+        for rank in (1, 3, 4):
+            have = sorted({p for r, p in rows if r == rank and p not in (None, rank)})
+            cuts = sorted(sorted(((a + 1 - b, b) for a, b in zip(have, have[1:]) if b > a + 1))[: max(n - 1, 0)], key=lambda c: c[1])
+            starts = [have[0], *[c[1] for c in cuts]]
+            want += [(rank, i, lo, max(p for p in have if p < (starts[1:] + [99])[i])) for i, lo in enumerate(starts)]
+        got = ranges.cover(peers, n)
+        assert sorted(tuple(x) for x in got.collect()) == want
+    assert ranges.cover(peers, 6)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_superset_by_key(spark, monkeypatch):
     monkeypatch.setattr(exchange, "BLOCK", 3)
     monkeypatch.setattr(exchange, "RECEIVERS", 2)
